@@ -28,7 +28,8 @@ def regular_grid(readings: DataFrame, source: list[str], bucket: Column, values:
     r = readings.withColumn("_bucket", bucket.cast("bigint")).where(F.col("_bucket").isNotNull())
     for c in source:
         r = r.where(F.col(c).isNotNull())
-    b = r.groupBy(*source, "_bucket").agg(*[v.alias(n) for n, v in values.items()]).withColumn("_blk", floor_div(F.col("_bucket"), block))
+    b = r.groupBy(*source, "_bucket").agg(*[v.alias(n) for n, v in values.items()]) if values else r.select(*source, "_bucket").distinct()
+    b = b.withColumn("_blk", floor_div(F.col("_bucket"), block))
     last = F.struct("_bucket", *carry)
     s = b.groupBy(*source, "_blk").agg(F.min("_bucket").alias("first"), F.max_by(last, "_bucket").alias("last"))
     w = Window.partitionBy(*source).orderBy("_blk")

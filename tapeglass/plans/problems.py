@@ -91,13 +91,11 @@ select t.trade_id, 'short_interest', strftime(s.settlement_date, '%Y-%m-%d') fro
 # p3 -----------------------------------------------------------------------------------------------
 
 
-def p3_grid(spark: SparkSession, d: str) -> DataFrame:
-    """One-minute series of each symbol and New York day's regular session; the close is carried over up to 4 minutes."""
+def p3_grid(spark: SparkSession, d: str, values: dict | None = None, carry: list[str] | None = None) -> DataFrame:
+    """One-minute series of each symbol and New York day's regular session, with ``values`` per minute; ``carry`` is held over up to 4 minutes."""
     b = table(spark, d, "bars_1m_raw").where((F.col("volume") > 0) & ~F.isnan("volume"))
     b = b.where(local_minute(F.col("t")).between(570, 959)).withColumn("day", local_date(F.col("t")))
-    newest = F.struct("t", "transactions", "open", "close", "volume")
-    values = {"open": F.min_by("open", newest), "high": F.max("high"), "low": F.min("low"), "close": F.max_by("close", newest), "readings": F.count(F.lit(1))}
-    return regular_grid.regular_grid(b, ["display_symbol", "day"], floor_div(F.unix_micros("t"), MINUTE), values, ["close"], max_gap=4)
+    return regular_grid.regular_grid(b, ["display_symbol", "day"], floor_div(F.unix_micros("t"), MINUTE), values or {}, carry or [], max_gap=4)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +103,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_series(spark: SparkSession, d: str) -> DataFrame:
-    g = p3_grid(spark, d)
+    newest = F.struct("t", "transactions", "open", "close", "volume")
+    values = {"open": F.min_by("open", newest), "high": F.max("high"), "low": F.min("low"), "close": F.max_by("close", newest), "readings": F.count(F.lit(1))}
+    g = p3_grid(spark, d, values, ["close"])
     return g.select("display_symbol", F.col("bucket").alias("minute"), "state", F.col("since").cast("bigint").alias("since"), "close", F.coalesce("readings", F.lit(0)).cast("bigint").alias("readings"))
 
 
