@@ -10,10 +10,10 @@ from tapeglass.operators import bitemporal, known_at, multiselect, regular_grid,
 from tapeglass.sources.tables import table
 
 
-def standing_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """day_session: of each security and day the delivery ingested last (ties: the greater row)."""
+def standing_sessions(spark: SparkSession, d: str, rest: list[str] | None = None) -> DataFrame:
+    """day_session: of each security and day the delivery ingested last (ties: the greater row), with the columns ``rest``."""
     s = table(spark, d, "day_session").where(F.col("security_id").isNotNull())
-    rest = ["display_symbol", "rth_open", "rth_high", "rth_low", "rth_close", "volume", "dollar_volume"]
+    rest = rest or ["display_symbol", "rth_open", "rth_high", "rth_low", "rth_close", "volume", "dollar_volume"]
     return s.groupBy("security_id", "day").agg(F.max(F.struct("ingested_at", *rest)).alias("r")).select("security_id", "day", "r.*")
 
 
@@ -180,7 +180,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    t = trailing.trailing_totals(standing_sessions(spark, d), ["security_id"], "day", {"volume": F.col("volume")}, [7])
+    t = trailing.trailing_totals(standing_sessions(spark, d, ["volume"]), ["security_id"], "day", {"volume": F.col("volume")}, [7])
     return t.where(F.col("volume_7d_total") == 0).select("security_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
