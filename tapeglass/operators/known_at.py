@@ -24,14 +24,14 @@ def locate(events: DataFrame, facts: DataFrame, key: list[str], event_time: str,
 
     Defined cases: events and facts with a null in the key, and events without a time, match nothing;
     of facts that begin and became known at once the higher ``rank`` wins, then the greater value;
-    repeated events with the same columns come out once; further columns of ``facts`` are ignored; an
-    empty table on either side gives no rows.  ``value`` comes out as text.
+    repeated events with the same columns come out once; further columns of ``facts`` are ignored;
+    columns of ``events`` named like ``extra`` or ``value`` give way to the result's; an empty table on either side gives no rows.  ``value`` comes out as text.
     """
     extra = extra or []
-    ledger = bitemporal_ledger(facts.withColumnsRenamed({}), [*key, *extra], value, valid_from, recorded_at, rank)
+    ledger = bitemporal_ledger(facts, [*key, *extra], value, valid_from, recorded_at, rank)
     t, known = F.unix_micros(event_time), F.unix_micros(known_time or event_time)
-    columns = events.columns
-    ev = events.where(F.col(event_time).isNotNull() & (F.col(known_time).isNotNull() if known_time else F.lit(True)))
+    columns = [c for c in events.columns if c not in (*extra, value)]
+    ev = events.select(*columns).where(F.col(event_time).isNotNull() & (F.col(known_time).isNotNull() if known_time else F.lit(True)))
     for c in key:
         ev = ev.where(F.col(c).isNotNull())
     ev = ev.withColumns({"_t": t, "_known": known})

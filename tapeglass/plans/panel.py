@@ -326,3 +326,68 @@ def target_before_stop_21d(spark, d):
     p = p.withColumns({"up": some(at(lambda b: b.h >= F.col("c") + 3 * F.col("atr"))), "dn": some(at(lambda b: b.l <= F.col("c") - 1.5 * F.col("atr")))})
     event = F.when(F.size("ahead") < 21, "no_data").when(F.col("dn").isNotNull() & (F.col("up").isNull() | (F.col("dn") <= F.col("up"))), "stop_first").when(F.col("up").isNotNull(), "target_first").otherwise("neither")
     return p.select(*_day(), F.col("up").alias("first_target"), F.col("dn").alias("first_stop"), event.alias("first_event"))
+
+
+@query(_P + f", m as (select day, avg(ret) as mret from p group by day) select p.security_id, strftime(p.day, '%Y-%m-%d') as day, round(p.ret - m.mret, 6) as excess from p join m on m.day = p.day")
+def excess_over_index(spark, d):
+    """Return over the equal-weight market's of the same day."""
+    p = panel(spark, d)
+    m = p.groupBy("day").agg(F.avg("ret").alias("mret"))
+    return p.join(m, "day").select(*_day(), _r(F.col("ret") - F.col("mret")).alias("excess"))
+
+
+_CAL = ", cal as (select day, row_number() over (order by day) as i from (select distinct day from p)), z as (select p.*, cal.i from p join cal on cal.day = p.day)"
+
+
+@query(_P + _CAL + f", n as (select a.security_id, a.day, a.c as c0, b.o as o1, b.h as h1, b.l as l1, b.c as c1 from z a left join z b on b.security_id = a.security_id and b.i = a.i + 1) select {_D}, round(o1 / nullif(c0, 0) - 1, 6) as next_gap, round(c1 / nullif(o1, 0) - 1, 6) as next_rth, round(c1 / nullif(c0, 0) - 1, 6) as next_close_to_close, round(case when h1 > l1 then (c1 - l1) / (h1 - l1) end, 6) as close_location from n")
+def next_period_decomposition(spark, d):
+    """The next market day as gap and session; a security that misses that day has nulls, whatever came later."""
+    p = panel(spark, d)
+    cal = p.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")))  # a row per trading day
+    z = p.join(cal, "day")
+    w = Window.partitionBy("security_id").orderBy("i")
+    nxt = F.when(F.lead("i").over(w) == F.col("i") + 1, F.lead(F.struct("o", "h", "l", "c")).over(w))
+    z = z.withColumn("n", nxt)
+    q = lambda a, b: _r(F.when(b != 0, a / b) - 1)
+    loc = F.when(F.col("n.h") > F.col("n.l"), (F.col("n.c") - F.col("n.l")) / (F.col("n.h") - F.col("n.l")))
+    return z.select(*_day(), q(F.col("n.o"), F.col("c")).alias("next_gap"), q(F.col("n.c"), F.col("n.o")).alias("next_rth"), q(F.col("n.c"), F.col("c")).alias("next_close_to_close"), _r(loc).alias("close_location"))
+
+
+@query(_P + f", x as (select *, case when dayofmonth(day) = 15 then 0.01 * c else 0 end as cash from p), y as (select *, sum(cash) over (partition by security_id order by day rows between 1 following and 21 following) as cash_21, lead(c, 21) over (partition by security_id order by day) as e from x where c > 0) select {_D}, round(e / c - 1, 6) as ret_21, round(case when e is not null then (e + cash_21) / c - 1 end, 6) as total_ret_21, case when e is not null then cash_21 > 0 end as cash_within from y")
+def total_return_with_cash(spark, d):
+    """Return over 21 traded days with and without the cash paid in them (a literal rule pays on the 15th)."""
+    p = panel(spark, d).where(F.col("c") > 0).withColumn("cash", F.when(F.dayofmonth("day") == 15, 0.01 * F.col("c")).otherwise(0.0))
+    w = H.by_security()
+    p = p.withColumns({"e": F.lead("c", 21).over(w), "k": F.sum("cash").over(w.rowsBetween(1, 21))})
+    return p.select(*_day(), _r(F.col("e") / F.col("c") - 1).alias("ret_21"), _r(F.when(F.col("e").isNotNull(), (F.col("e") + F.col("k")) / F.col("c") - 1)).alias("total_ret_21"), F.when(F.col("e").isNotNull(), F.col("k") > 0).alias("cash_within"))
+
+
+@query(_P + ", t as (select security_id, max(cast(delisted_utc as date)) as dl from tickers where security_id is not null and delisted_utc is not null group by 1), l as (select security_id, max(day) as last_day, arg_max(c, day) as last_close, count(*) as sessions from p group by 1), cal as (select distinct day from p) select l.security_id, strftime(t.dl, '%Y-%m-%d') as delisted, strftime(l.last_day, '%Y-%m-%d') as last_day, l.last_close, case when t.dl is null then 'none' when l.last_day > t.dl then 'traded_after' else 'delisting' end as terminal_event, (select count(*) from cal where cal.day > l.last_day) as missing_days from l left join t using (security_id)")
+def terminal_events(spark, d):
+    """Delistings that the tape confirms: no session after them; and the market days missed since the last session."""
+    from tapeglass.sources.tables import table
+
+    t = table(spark, d, "tickers").where(F.col("security_id").isNotNull() & F.col("delisted_utc").isNotNull()).groupBy("security_id").agg(F.max(F.to_date("delisted_utc")).alias("dl"))
+    p = panel(spark, d)
+    cal = p.select("day").distinct().withColumn("missing_days", F.count(F.lit(1)).over(Window.orderBy(F.desc("day"))) - 1)  # a row per trading day
+    s = p.groupBy("security_id").agg(F.max("day").alias("day"), F.max_by("c", "day").alias("last_close")).join(cal, "day").join(t, "security_id", "left")
+    event = F.when(F.col("dl").isNull(), "none").when(F.col("day") > F.col("dl"), "traded_after").otherwise("delisting")
+    return s.select("security_id", F.date_format("dl", "yyyy-MM-dd").alias("delisted"), F.date_format("day", "yyyy-MM-dd").alias("last_day"), "last_close", event.alias("terminal_event"), "missing_days")
+
+
+@query(_P + ", f as (select *, lead(ret) over (partition by security_id order by day) as fwd from p), g as (select case when day <= date '2023-06-30' then 'first' when day <= date '2024-03-31' then 'second' else 'third' end as era, corr(ret, fwd) as r, count(*) as n from f where ret is not null and fwd is not null group by 1) select era, round(r, 6) + 0.0 as correlation, n, sign(r) = sign(first_value(r) over (order by era)) as same_sign from g")
+def era_signs(spark, d):
+    """Whether a relation keeps its sign across eras."""
+    era = F.when(F.col("day") <= F.lit("2023-06-30").cast("date"), "first").when(F.col("day") <= F.lit("2024-03-31").cast("date"), "second").otherwise("third")
+    f = panel(spark, d).withColumn("fwd", F.lead("ret").over(H.by_security())).where(F.col("ret").isNotNull() & F.col("fwd").isNotNull())
+    g = f.groupBy(era.alias("era")).agg(F.corr("ret", "fwd").alias("r"), F.count(F.lit(1)).alias("n"))
+    return g.select("era", (_r("r") + 0.0).alias("correlation"), "n", (F.signum("r") == F.signum(F.first("r").over(Window.orderBy("era")))).alias("same_sign"))  # three rows
+
+
+@query(_P + ", m as (select day, stddev_pop(ret) as x from p group by day having count(ret) >= 2), q as (select *, quantile_cont(x, 0.8) over w as q80, count(x) over w as n from m window w as (order by day rows between 1260 preceding and 1 preceding)) select strftime(day, '%Y-%m-%d') as day, round(case when n >= 252 then q80 end, 8) as threshold, cast(case when n >= 252 and x > q80 then 0.5 else 1.0 end as double) as weight from q")
+def expanding_threshold(spark, d):
+    """80th percentile of up to 1,260 days before, from 252 on; full weight until then."""
+    m = panel(spark, d).groupBy("day").agg(F.stddev_pop("ret").alias("x"), F.count("ret").alias("k")).where(F.col("k") >= 2)
+    w = Window.orderBy("day").rowsBetween(-1260, -1)  # a row per trading day
+    m = m.withColumns({"q": F.percentile("x", F.lit(0.8)).over(w), "n": F.count("x").over(w)})
+    return m.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.when(F.col("n") >= 252, F.col("q")), 8).alias("threshold"), F.when((F.col("n") >= 252) & (F.col("x") > F.col("q")), 0.5).otherwise(1.0).alias("weight"))

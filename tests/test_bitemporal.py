@@ -61,6 +61,8 @@ def test_locate_equals_brute_force(spark):
     events = [(i, rnd.choice(["a", "b", "c", None]), t0 + rnd.randrange(-10, 4_100_000), t0 + rnd.randrange(-10, 4_100_000)) for i in range(200)] + [(999, "a", None, None)]
     f = spark.createDataFrame(facts, "k string, kind string, x string, v bigint, r bigint, rank int").withColumns({"v": F.timestamp_seconds("v"), "r": F.timestamp_seconds("r")})
     e = spark.createDataFrame(events + events[:5], "id int, k string, t bigint, known bigint").withColumns({"t": F.timestamp_seconds("t"), "known": F.timestamp_seconds("known")})
+    e = e.withColumns({"x": F.lit("clash"), "kind": F.lit("clash")})
+    f = f.withColumn("t", F.lit("clash"))
     for known in (None, "known"):
         got = {(r.id, r.kind, r.x) for r in locate(e, f, ["k"], "t", "x", "v", "r", known, "rank", ["kind"]).collect()}
         want = set()
