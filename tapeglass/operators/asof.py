@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, value: Column, name: str, block: Column | None = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, value: Column, name: str) -> DataFrame:
     """``left`` with the latest ``value`` of ``right`` at or before ``left_at``: one union and one window, no range join.
 
     ``value`` is a struct whose order breaks ties; rows of ``left`` come out once each.
@@ -33,11 +33,14 @@ def asof_forward(left: DataFrame, calendar: DataFrame, key: str, at: str, day: s
 
 
 def latest_within(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, most_days: int, order: list[str]) -> DataFrame:
-    """Each row of ``left`` with the newest row of ``right`` at most ``most_days`` before it: an equi join on key and coarse date bucket."""
+    """Each row of ``left`` with the newest row of ``right`` at most ``most_days`` before it: an equi join on key and coarse date bucket.
+
+    Repeated rows of ``left`` come out once; rows without a match don't come out.
+    """
     width = most_days + 1
     bucket = lambda c: F.floor(F.unix_date(c) / width)
-    a = left.withColumns({"_id": F.monotonically_increasing_id(), "_b": bucket(F.col(left_at))})
+    a = left.withColumn("_b", bucket(F.col(left_at)))
     b = right.withColumn("_b2", F.explode(F.array(bucket(F.col(right_at)), bucket(F.col(right_at)) + 1))).withColumnRenamed(key, "_k2")
     j = a.join(b, (F.col(key) == F.col("_k2")) & (F.col("_b") == F.col("_b2")) & F.datediff(left_at, right_at).between(0, most_days))
-    w = Window.partitionBy("_id").orderBy(F.col(right_at).desc(), *order)
-    return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_id", "_b", "_b2", "_k2")
+    w = Window.partitionBy(*left.columns).orderBy(F.col(right_at).desc(), *order)
+    return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_b", "_b2", "_k2")
