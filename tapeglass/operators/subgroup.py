@@ -5,30 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeglass.session import cut
 
-def peel(df: DataFrame, features: list[str], target: str, alpha: float = 0.05, least: float = 0.1, steps: int = 20) -> list[dict]:
+
+def peel(df: DataFrame, features: list[str], target: str, alpha: float = 0.05, least: float = 0.1, every: int = 10) -> list[dict]:
     """The trajectory of boxes: step, feature, side, bound, n, mean.
 
     Each step drops the ``alpha`` tail of one feature, on the side that leaves the highest mean, until
-    ``least`` of the rows are left.  A step is one pass for all quantiles and one for all candidates;
-    the driver sees a few numbers per feature.
+    no tail can be dropped that leaves ``least`` of the rows.  A step drops a row at least, so it ends.
+    A step is one pass for all quantiles and one for all candidates; the driver sees a few numbers per
+    feature.  The box is two bounds per feature, and materialised ``every`` so many steps.
     """
-    box, out = df.where(F.col(target).isNotNull()), []
+    base, out, bounds = df.where(F.col(target).isNotNull()), [], {}
     for f in features:
-        box = box.where(F.col(f).isNotNull())
-    whole = box.count()
-    for step in range(steps):
-        if not whole:
-            break
+        base = base.where(F.col(f).isNotNull())
+    whole = base.count()
+    keep = lambda f, side, x: F.col(f) > x if side == "low" else F.col(f) < x
+    while whole:
+        box = base
+        for (f, side), x in bounds.items():
+            box = box.where(keep(f, side, x))
+        if out and len(out) % every == 0:
+            base, bounds = cut(box), {}
+            box = base
         q = box.agg(*[F.percentile(f, F.array(F.lit(alpha), F.lit(1 - alpha))).alias(f) for f in features]).first()
         cands = [(f, side, q[f][k]) for f in features for k, side in ((0, "low"), (1, "high"))]
-        keep = lambda f, side, x: F.col(f) > x if side == "low" else F.col(f) < x
         r = box.agg(*[F.avg(F.when(keep(*c), F.col(target))).alias(f"m{i}") for i, c in enumerate(cands)], *[F.count_if(keep(*c)).alias(f"n{i}") for i, c in enumerate(cands)]).first()
         good = [(r[f"m{i}"], -i) for i in range(len(cands)) if r[f"n{i}"] >= least * whole and r[f"m{i}"] is not None]
         if not good:
             break
         m, i = max(good)
         f, side, x = cands[-i]
-        box = box.where(keep(f, side, x))
-        out.append({"step": step, "feature": f, "side": side, "bound": float(x), "n": r[f"n{-i}"], "mean": float(m)})
+        bounds[f, side] = x
+        out.append({"step": len(out), "feature": f, "side": side, "bound": float(x), "n": r[f"n{-i}"], "mean": float(m)})
     return out
