@@ -94,3 +94,22 @@ def beta(x: str, y: str, n: int, least: int) -> Column:
     fx, fy = F.when(both, F.col(x)), F.when(both, F.col(y))
     v = F.var_samp(fx).over(w)
     return F.when((F.count(fx).over(w) >= least) & (v > 0), F.covar_samp(fx, fy).over(w) / v)
+
+
+def ewma(panel: DataFrame, value: str, halflife: float) -> DataFrame:
+    """security_id, day, ewma: one recursion v = decay * v + (1 - decay) * value over a security's whole series, a row per day.
+
+    Days without a value are left out; the first value starts the recursion.  A series is cut into
+    blocks of a year: each is folded to its length and weighted sum, a running pass over a security's
+    blocks gives the state at each one's start, and from that the days follow (decay ** -366 must be finite).
+    """
+    decay = 0.5 ** (1 / halflife)
+    p = panel.where(F.col(value).isNotNull()).groupBy("security_id", F.year("day").alias("_year")).agg(F.sort_array(F.collect_list(F.struct("day", F.col(value).cast("double").alias("x")))).alias("_s"))  # some 250 days
+    p = p.withColumn("_fold", F.struct(F.size("_s").alias("n"), F.aggregate("_s", F.lit(0.0), lambda a, r: a * decay + r.x * (1 - decay)).alias("sum")))
+    w = Window.partitionBy("security_id").orderBy("_year")
+    p = p.withColumns({"_first": F.first(F.col("_s")[0]["x"]).over(w), "_folds": F.collect_list("_fold").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    p = p.withColumn("_state", F.aggregate("_folds", F.col("_first"), lambda a, b: a * F.pow(F.lit(decay), b.n) + b.sum))
+    d = p.select("security_id", "_year", "_state", F.posexplode("_s").alias("_i", "_r"))
+    k = F.pow(F.lit(decay), F.col("_i") + 1)
+    inside = F.sum(F.col("_r.x") * (1 - decay) / k).over(Window.partitionBy("security_id", "_year").orderBy("_i"))
+    return d.select("security_id", F.col("_r.day").alias("day"), (k * (F.col("_state") + inside)).alias("ewma"))

@@ -187,11 +187,12 @@ def prim_peel_step(spark, d):
 
 @query()
 def ewma_vol(spark, d):
-    """Exponentially weighted volatility (half-life 10 days) of each security, a fold over its returns in blocks of a year."""
-    decay = 0.5 ** (1 / 10)
-    p = panel(spark, d).where(F.col("lret").isNotNull()).groupBy("security_id", F.year("day").alias("year")).agg(F.sort_array(F.collect_list(F.struct("day", "lret"))).alias("s"))  # some 250 days
-    var = F.aggregate("s", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x.lret * x.lret).otherwise(a * decay + x.lret * x.lret * (1 - decay)))
-    return p.select("security_id", F.col("year").cast("bigint").alias("year"), F.size("s").cast("bigint").alias("days"), F.round(F.sqrt(var * 252), 8).alias("vol"))
+    """Exponentially weighted volatility (half-life 10 days) of each security, one recursion over its whole series, on every day with a return.
+
+    Over squared log returns, begun with the first; the reference begins its one series with the variance of the first twenty, which looks ahead.
+    """
+    v = H.ewma(panel(spark, d).withColumn("sq", F.col("lret") * F.col("lret")), "sq", 10)
+    return v.select("security_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.sqrt(F.col("ewma") * 252), 8).alias("vol"))
 
 
 def _features(spark, d) -> DataFrame:
