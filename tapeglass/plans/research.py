@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -219,21 +221,30 @@ def kmeans_states(spark, d):
     return model.transform(scale.transform(f)).groupBy("split", F.col("prediction").alias("state")).agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("mean_fwd"))
 
 
+def walk_forward(f: DataFrame, embargo: int = 2) -> list[tuple[int, DataFrame, DataFrame]]:
+    """Expanding folds: year, train and test, for each year of ``f`` but the first; training ends ``embargo`` days before the last day of the years before."""
+    last = sorted(f.groupBy(F.year("day").alias("y")).agg(F.max("day").alias("z")).collect())  # a row per year
+    ends = [(y, z - dt.timedelta(days=embargo)) for (y, _), (_, z) in zip(last[1:], last)]
+    return [(y, f.where(F.col("day") <= F.lit(z)), f.where(F.year("day") == y)) for y, z in ends]
+
+
 @query()
 def gbt_walk_forward(spark, d):
-    """Boosted trees fitted on 2023 less two days, rank correlation with the returns of 2024 by day, beside a logistic baseline."""
+    """Boosted trees fitted for each year on the years before less two days, rank correlation with the year's returns by day, beside a logistic baseline."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
-    f = _vector(_features(spark, d).where(F.col("fwd").isNotNull()).withColumn("label", (F.col("fwd") > 0).cast("double"))).withColumnRenamed("raw", "features")
-    train, test = f.where(F.col("day") <= F.lit("2023-12-29").cast("date")), f.where(F.col("day") >= F.lit("2024-01-01").cast("date"))
-    out = None
-    for name, model in (("gbt", GBTClassifier(maxIter=10, maxDepth=3, seed=5)), ("logistic", LogisticRegression(maxIter=20))):
-        s = model.fit(train).transform(test).withColumn("score", vector_to_array("probability")[1])
-        rn = lambda c: F.row_number().over(Window.partitionBy("day").orderBy(c, "security_id")).cast("double")
-        ic = s.select("day", rn("score").alias("a"), rn("fwd").alias("b")).groupBy("day").agg(F.corr("a", "b").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= 10)
-        one = ic.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("days"), F.avg("ic").alias("mean_ic"))
-        out = one if out is None else out.unionByName(one)
+    f = cut(_features(spark, d).where(F.col("fwd").isNotNull()).withColumn("label", (F.col("fwd") > 0).cast("double")))
+    f = _vector(f).withColumnRenamed("raw", "features")
+    out = spark.createDataFrame([], "model string, test_year int, days bigint, mean_ic double")
+    for year, train, test in walk_forward(f):
+        if train.select("label").distinct().count() < 2:
+            continue
+        for name, model in (("gbt", GBTClassifier(maxIter=10, maxDepth=3, seed=5)), ("logistic", LogisticRegression(maxIter=20))):
+            s = model.fit(train).transform(test).withColumn("score", vector_to_array("probability")[1])
+            rn = lambda c: F.row_number().over(Window.partitionBy("day").orderBy(c, "security_id")).cast("double")
+            ic = s.select("day", rn("score").alias("a"), rn("fwd").alias("b")).groupBy("day").agg(F.corr("a", "b").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= 10)
+            out = out.unionByName(ic.agg(F.lit(name).alias("model"), F.lit(year).alias("test_year"), F.count(F.lit(1)).alias("days"), F.avg("ic").alias("mean_ic")))
     return out
 
 
