@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -267,14 +268,42 @@ def mde_ladder_grouping_sets(spark, d):
 
 @query(_P + ", f as (select *, ntile(10) over (partition by day order by ret, security_id) as x, (lead(ret) over (partition by security_id order by day) > 0)::int as y from p where ret is not null), n as (select x, y, count(*) as c from f where y is not null group by x, y), t as (select *, sum(c) over () as tot, sum(c) over (partition by x) as cx, sum(c) over (partition by y) as cy from n) select round(sum(c / tot * log2(c * tot / (cx * cy))), 6) as mutual_information, cast(max(tot) as bigint) as n from t")
 def mutual_information(spark, d):
-    """Mutual information, in bits, of a day's return decile and the sign of the next return."""
-    w = Window.partitionBy("day").orderBy("ret", "security_id")
-    f = panel(spark, d).where(F.col("ret").isNotNull()).withColumns({"x": F.ntile(10).over(w), "y": (F.lead("ret").over(H.by_security()) > 0).cast("int")}).where(F.col("y").isNotNull())
-    n = f.groupBy("x", "y").count()  # twenty cells
+    """Mutual information, in bits, of a day's return decile and the sign of the next return; as it is, biased upwards."""
+    n = _cells(spark, d)
     t = n.withColumns({"tot": F.sum("count").over(Window.partitionBy()), "cx": F.sum("count").over(Window.partitionBy("x")), "cy": F.sum("count").over(Window.partitionBy("y"))})
     return t.agg(_r(F.sum(F.col("count") / F.col("tot") * F.log2(F.col("count") * F.col("tot") / (F.col("cx") * F.col("cy"))))).alias("mutual_information"), F.max("tot").alias("n"))
 
 
+def _cells(spark, d) -> DataFrame:
+    w = Window.partitionBy("day").orderBy("ret", "security_id")
+    f = panel(spark, d).where(F.col("ret").isNotNull()).withColumns({"x": F.ntile(10).over(w), "y": (F.lead("ret").over(H.by_security()) > 0).cast("int")}).where(F.col("y").isNotNull())
+    return f.groupBy("x", "y").count()  # twenty cells
+
+
+def corrected_information(cells: np.ndarray, times: int = 200, seed: int = 20260620) -> tuple[float, float, float]:
+    """Mutual information in bits of a table of counts with two columns, the 95th percentile of its permutation null, and what is left above that.
+
+    Shuffled labels keep both margins, so a shuffled table is a multivariate hypergeometric draw; none of the rows is needed.
+    """
+    def bits(c: np.ndarray) -> np.ndarray:
+        both = c / max(cells.sum(), 1)
+        apart = both.sum(-1, keepdims=True) * both.sum(-2, keepdims=True)
+        return np.where(both > 0, both * np.log2(np.where(both > 0, both, 1) / np.where(apart > 0, apart, 1)), 0.0).sum((-2, -1))
+
+    ones = np.random.default_rng(seed).multivariate_hypergeometric(cells.sum(1), cells[:, 1].sum(), size=times, method="marginals")
+    null = float(np.quantile(bits(np.stack([cells.sum(1) - ones, ones], -1)), 0.95))
+    return float(bits(cells)), null, max(0.0, float(bits(cells)) - null)
+
+
+@query()
+def mutual_information_corrected(spark, d):
+    """The mutual information less the 95th percentile of its permutation null."""
+    cells = np.zeros((10, 2), dtype=np.int64)
+    for r in _cells(spark, d).collect():
+        cells[r.x - 1, r.y] = r["count"]
+    return spark.createDataFrame([(*corrected_information(cells), int(cells.sum()))], "mutual_information double, null_95 double, corrected double, n bigint")
+
+
 @query(_P + ", f as (select *, lead(ret) over (partition by security_id order by day) > 0 as y from p where ret is not null), k as (select year(day) as yr, y, row_number() over (partition by year(day) order by ret, security_id, day) as r from f where y is not null) select yr, count(*) as n, round((sum(case when y then r end) - count_if(y) * (count_if(y) + 1) / 2) / (count_if(y) * count_if(not y)), 6) as auc from k group by yr having count_if(y) > 0 and count_if(not y) > 0")
 def auc_rank(spark, d):
     """Area under the curve of today's return as a score for a rise tomorrow, by year, from the rank sum."""
