@@ -11,9 +11,13 @@ from tapeglass.session import shared_folder
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The parquet table ``name`` of ``folder`` as a stream of files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").option("maxFilesPerTrigger", 64).parquet(folder)
+    """The parquet table ``name`` of ``folder`` (a file or a folder of part files) as a stream of files."""
+    path = f"{folder}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def window_counts(stream: DataFrame, at: str, key: str, value: str, size: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
