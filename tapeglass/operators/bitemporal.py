@@ -6,17 +6,19 @@ each holds until the next one.  Maximal runs of equal values are the versions.
 row per version and period of recorded time over which it read the same, so a late statement closes
 the row it splits (``recorded_to``) and adds its parts; nothing is overwritten.
 
-How it is made: points on the valid axis are swept from late to early while a short list keeps, for
+How it is made: points on the valid axis are swept from late to early while an ordered list keeps, for
 each stretch of recorded time, the version that is open at the sweep line.  A statement closes the
-version it cuts off, or extends it to the left if it says the same.  Before the sweep, statements
-that can never begin a version are dropped inside blocks of (key, stretch of valid time), so a hot
-key is spread over its blocks and little of it is left for the sweep, which streams over a sorted
-partition and keeps one key's open versions only.
+version it cuts off, or extends it to the left if it says the same; the stretches it meets are found by
+bisection.  The sweep runs twice: inside blocks of (key, stretch of valid time), so a hot key is spread
+over its blocks, and then over what the blocks hand to each other, the first and the last version of
+each.  Statements that can never begin a version are dropped in the blocks before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -69,44 +71,125 @@ def points(statements: DataFrame, key: list[str], value: str, valid_from: str, r
     same = F.lag(F.struct("v", "x", "ra", "rb")).over(before)
     s = s.withColumn("q", same)
     idle = F.col("q.v").isNotNull() & (F.col("q.v") < F.col("v")) & F.col("q.x").eqNullSafe(F.col("x")) & (F.col("q.ra") <= F.col("ra")) & (F.col("q.rb") >= F.col("rb"))
-    return s.where(~idle).select("k", "v", "x", "ra", "rb")
-
-
-def sweep(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Sweep (key, v, x, ra, rb), sorted by key and falling v; yields (key, x, valid_from, valid_to, recorded_from, recorded_to).
-
-    A piece is (t0, t1, start, x, end): over recorded time t0..t1 the open version is x, from start to end.
+    return s.where(~idle).select("k", "blk", "v", "x", "ra", "rb")
+
+
+class Axis:
+    """A map from recorded time to what holds over a stretch of it: stretches in order, each until the next begins."""
+
+    def __init__(self) -> None:
+        self.at: list[int] = [EVER]
+        self.what: list[tuple | None] = [None]
+
+    def change(self, ra: int, rb: int, new: Callable[[tuple | None, int, int], tuple]) -> None:
+        """Replace what holds over ra..rb by ``new(what, from, to)``; the stretches it meets are found by bisection, the others aren't touched."""
+        at, what = self.at, self.what
+        i, j = bisect_right(at, ra) - 1, bisect_left(at, rb)
+        t: list[int] = []
+        w: list[tuple | None] = []
+        if at[i] < ra:
+            t.append(at[i])
+            w.append(what[i])
+        elif i and what[i - 1] is not None:
+            i -= 1
+            t.append(at[i])
+            w.append(what[i])
+        for k in range(bisect_right(at, ra) - 1, j):
+            a, b = max(at[k], ra), min(at[k + 1] if k + 1 < len(at) else FOREVER, rb)
+            n = new(what[k], a, b)
+            if not w or w[-1] != n:
+                t.append(a)
+                w.append(n)
+        end = at[j] if j < len(at) else FOREVER
+        if rb < end:
+            if w[-1] != what[j - 1]:
+                t.append(rb)
+                w.append(what[j - 1])
+        elif j < len(at) and what[j] == w[-1]:
+            j += 1
+        at[i:j], what[i:j] = t, w
+
+    def stretches(self) -> Iterator[tuple[int, int, tuple]]:
+        for k, (a, w) in enumerate(zip(self.at, self.what, strict=True)):
+            if w is not None:
+                yield a, self.at[k + 1] if k + 1 < len(self.at) else FOREVER, w
+
+
+def sweep_block(rows: Iterable[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Sweep one block's (v, x, ra, rb) by falling v: the versions that begin and end inside it, and what its neighbours need.
+
+    Versions: (x, valid_from, valid_to, recorded_from, recorded_to).  For the neighbours, per stretch of
+    recorded time: the first version's begin and value, a mark where it ends (its end is known, and what
+    lies behind the mark is told already), and the last version's begin and value, as (v, x, marked, ra, rb).
+    """
+    # over a stretch: begin and value of the first version, its end if another follows, begin and value of the last one
+    axis, inner = Axis(), []
+    for v, x, ra, rb in rows:
+
+        def new(was, a, b, v=v, x=x):
+            if was is None:
+                return v, x, None, None, None
+            first, value, end, last, ending = was
+            if value == x:
+                return v, x, end, last, ending
+            if end is None:
+                return v, x, first, first, value
+            inner.append((value, first, end, a, b))
+            return v, x, first, last, ending
+
+        axis.change(ra, rb, new)
+    edges: list[tuple] = []
+    open_: dict[int, list] = {}
+
+    def tell(kind: int, a: int, b: int, fact: tuple | None) -> None:
+        was = open_.get(kind)
+        if was and was[2] == fact and was[1] == a:
+            was[1] = b
+            return
+        if was and was[2] is not None:
+            edges.append((*was[2], was[0], was[1]))
+        open_[kind] = [a, b, fact]
+
+    for a, b, (first, value, end, last, ending) in axis.stretches():
+        tell(0, a, b, (first, value, False))
+        tell(1, a, b, (end, None, True) if end is not None and end != last else None)
+        tell(2, a, b, (last, ending, False) if end is not None else None)
+    edges += [(*fact, a, b) for a, b, fact in open_.values() if fact is not None]
+    return inner, edges
+
+
+def sweep(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Sweep (key, v, x, marked, ra, rb), sorted by key and falling v; yields (key, x, valid_from, valid_to, recorded_from, recorded_to).
+
+    Over a stretch of recorded time (begin, value, marked, end) is the version open at the sweep line; a
+    marked one only ends the one before it.
     """
-    current, pieces = None, []
-    for key, v, x, ra, rb in rows:
-        if key != current:
-            yield from ((current, p[3], p[2], p[4], p[0], p[1]) for p in pieces if p[2] is not None)
-            current, pieces = key, [(EVER, FOREVER, None, None, FOREVER)]
-        out: list[tuple] = []
-
-        def add(piece, out=out):
-            if out and out[-1][2:] == piece[2:]:
-                out[-1] = (out[-1][0], piece[1], *piece[2:])
-            else:
-                out.append(piece)
-
-        for t0, t1, start, was, end in pieces:
-            if t1 <= ra or t0 >= rb:
-                add((t0, t1, start, was, end))
-                continue
-            a, b = max(t0, ra), min(t1, rb)
-            if t0 < a:
-                add((t0, a, start, was, end))
-            if start is not None and was == x:
-                add((a, b, v, x, end))
-            else:
-                if start is not None:
-                    yield key, was, start, end, a, b
-                add((a, b, v, x, FOREVER if start is None else start))
-            if b < t1:
-                add((b, t1, start, was, end))
-        pieces = out
-    yield from ((current, p[3], p[2], p[4], p[0], p[1]) for p in pieces if p[2] is not None)
+    for key, own in groupby(rows, lambda r: r[0]):
+        axis, out = Axis(), []
+        for _, v, x, marked, ra, rb in own:
+
+            def new(was, a, b, v=v, x=x, marked=marked):
+                if was is None:
+                    return v, x, marked, FOREVER
+                begin, value, mark, end = was
+                if value == x and mark == marked:
+                    return v, x, marked, end
+                if not mark:
+                    out.append((key, value, begin, end, a, b))
+                return v, x, marked, begin
+
+            axis.change(ra, rb, new)
+            if len(out) >= 20_000:
+                yield from out
+                out.clear()
+        yield from out
+        yield from ((key, value, begin, end, a, b) for a, b, (begin, value, mark, end) in axis.stretches() if not mark)
+
+
+def _batches(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    for first in (rows := iter(rows)):
+        cols = zip(*[first, *islice(rows, 20_000)], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
 
 def bitemporal_ledger(statements: DataFrame, key: list[str], value: str, valid_from: str, recorded_at: str, rank: str | None = None, block: int | None = None) -> DataFrame:
@@ -126,26 +209,37 @@ def bitemporal_ledger(statements: DataFrame, key: list[str], value: str, valid_f
     if block is None:
         block = 128 * DAY if isinstance(kinds[valid_from], T.TimestampType) else 128
     p = points(statements, key, value, valid_from, recorded_at, rank, block)
-    names = ["x", "vf", "vt", "rf", "rt"]
-    # the key travels as one JSON text: the sweep only compares it
-    p = p.select(F.to_json("k").alias("kj"), "v", "x", "ra", "rb").repartition("kj").sortWithinPartitions("kj", F.desc("v"), "ra")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        kept: list[tuple] = []
-
-        def packed() -> pa.RecordBatch:
-            cols = list(zip(*kept, strict=True)) if kept else [[]] * 6
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kj", *names])
-
-        for row in sweep(x for b in batches for x in zip(*[c.to_pylist() for c in b.columns], strict=True)):
-            kept.append(row)
-            if len(kept) >= 20_000:
-                yield packed()
-        yield packed()
-
-    swept = p.mapInArrow(run, "kj string, x string, vf bigint, vt bigint, rf bigint, rt bigint")
+    # the key travels as one JSON text: the sweeps only compare it
+    p = p.select(F.to_json("k").alias("kj"), "blk", "v", "x", "ra", "rb").sortWithinPartitions("kj", "blk", F.desc("v"), "ra")
+    flat = [("kj", pa.string()), ("part", pa.int64()), ("x", pa.string()), ("v", pa.int64()), ("vt", pa.int64()), ("marked", pa.bool_()), ("ra", pa.int64()), ("rb", pa.int64())]
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told():
+            rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+            for (kj, blk), own in groupby(rows, lambda r: r[:2]):
+                inner, edges = sweep_block(r[2:] for r in own)
+                for x, vf, vt, a, b in inner:
+                    yield kj, 1 + blk % 1024, x, vf, vt, False, a, b
+                for v, x, marked, a, b in edges:
+                    yield kj, 0, x, v, None, marked, a, b
+
+        yield from _batches(told(), [n for n, _ in flat], [t for _, t in flat])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def every():
+            rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+            for through, own in groupby(rows, lambda r: r[1] > 0):
+                if through:
+                    yield from ((kj, x, v, vt, ra, rb) for kj, _, x, v, vt, _, ra, rb in own)
+                else:
+                    yield from sweep((kj, v, x, marked, ra, rb) for kj, _, x, v, _, marked, ra, rb in own)
+
+        yield from _batches(every(), ["kj", "x", "vf", "vt", "rf", "rt"], [pa.string(), pa.string(), *[pa.int64()] * 4])
+
+    # versions that lie inside a block are told and only pass through, spread by their block; the rest of a key meets in one place
+    told = p.mapInArrow(inside, "kj string, part bigint, x string, v bigint, vt bigint, marked boolean, ra bigint, rb bigint")
+    told = told.repartition("kj", "part").sortWithinPartitions("kj", "part", F.desc("v"), "ra")
+    swept = told.mapInArrow(across, "kj string, x string, vf bigint, vt bigint, rf bigint, rt bigint")
     # a version that a later cut left unchanged comes in several stretches of recorded time
     w = Window.partitionBy("kj", "x", "vf", "vt").orderBy("rf")
     swept = swept.withColumn("new", F.when(F.lag("rt").over(w) == F.col("rf"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))

@@ -30,13 +30,18 @@ def symbol_statements(spark: SparkSession, d: str) -> DataFrame:
     return s.unionByName(e).where(F.col("display_symbol").isNotNull())
 
 
-def p1_history(spark: SparkSession, d: str) -> DataFrame:
-    """The whole ledger of symbols, superseded rows included."""
+def symbol_ledger(spark: SparkSession, d: str) -> DataFrame:
     return bitemporal.bitemporal_ledger(symbol_statements(spark, d), ["security_id"], "display_symbol", "valid_from", "recorded_at", "rank")
 
 
+def p1_history(spark: SparkSession, d: str) -> DataFrame:
+    """The whole ledger of symbols, superseded rows included; recorded times in microseconds."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return symbol_ledger(spark, d).select("security_id", "display_symbol", day("valid_from"), day("valid_to"), F.unix_micros("recorded_from").alias("recorded_from_us"), F.unix_micros("recorded_to").alias("recorded_to_us"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return bitemporal.standing(p1_history(spark, d)).select("security_id", "display_symbol", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"))
+    return bitemporal.standing(symbol_ledger(spark, d)).select("security_id", "display_symbol", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"))
 
 
 _SYMBOL = "regexp_replace(upper(trim({}, ' ' || chr(9) || chr(10) || chr(13))), '^([A-Z0-9]+)[^A-Z0-9]([A-Z])$', '\\1.\\2')"
@@ -52,6 +57,19 @@ v as (select security_id, d, x, lag(x) over (partition by security_id order by d
 select security_id, x as display_symbol, strftime(d, '%Y-%m-%d') as valid_from from v where px is null or px <> x
 """
 
+#: the ledger read anew at every recorded time of a security, equal readings in a row put together
+P1_HISTORY_SQL = f"""
+with st as (select security_id, day as v, {_SYMBOL.format("display_symbol")} as x, epoch_us(ingested_at) as ra, 0 as pr from day_session where security_id is not null
+      union all select security_id, event_date, {_SYMBOL.format("new_ticker")}, epoch_us(cast(event_date as timestamp)), 1 from ticker_events where security_id is not null and event_date is not null),
+ts as (select *, lead(t) over (partition by security_id order by t) as nt, row_number() over (partition by security_id order by t) as i from (select distinct security_id, ra as t from st)),
+b as (select ts.security_id, t, i, nt, v, arg_max(x, row(pr, ra, x)) as x from st join ts on st.security_id = ts.security_id and st.ra <= ts.t group by all),
+c as (select *, lag(x) over (partition by security_id, t order by v) as px from b),
+e as (select *, lead(v) over (partition by security_id, t order by v) as vt from c where px is null or px <> x),
+g as (select *, i - row_number() over (partition by security_id, x, v, vt order by i) as island from e)
+select security_id, x as display_symbol, strftime(v, '%Y-%m-%d') as valid_from, strftime(vt, '%Y-%m-%d') as valid_to, min(t) as recorded_from_us, arg_max(row(nt), i)[1] as recorded_to_us
+from g group by security_id, x, v, vt, island
+"""
+
 # p2 -----------------------------------------------------------------------------------------------
 
 
@@ -259,4 +277,4 @@ QUERIES = {
     "p1_found": p1_found, "p1_history": p1_history, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p4_state": p4_state,
     "p5_found": p5_found, "p5_stamps": p5_stamps, "p6_found": p6_found, "p6_trailing": p6_trailing, "p7_percentiles": p7_percentiles,
 }
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p6_trailing": _p6_trailing_sql(), "p7_percentiles": _p7_sql()}
+SQL = {"p1_found": P1_SQL, "p1_history": P1_HISTORY_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p6_trailing": _p6_trailing_sql(), "p7_percentiles": _p7_sql()}

@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -75,3 +76,24 @@ def test_locate_equals_brute_force(spark):
         assert got == want
     assert locate(e.limit(0), f, ["k"], "t", "x", "v", "r", rank="rank", extra=["kind"]).count() == 0
     assert locate(e, f.limit(0), ["k"], "t", "x", "v", "r", rank="rank", extra=["kind"]).count() == 0
+
+
+def test_backfill_recorded_from_new_to_old_stays_linear():
+    from tapeglass.operators.bitemporal import FOREVER, sweep, sweep_block
+
+    n = 8000
+    rows = [(n - i, f"x{i}", i, FOREVER) for i in range(n)]
+    began = time.perf_counter()
+    out = list(sweep(("k", v, x, False, ra, rb) for v, x, ra, rb in rows))
+    inner, edges = sweep_block(rows)
+    assert time.perf_counter() - began < 1.5
+    assert len(out) == 2 * n - 1 and len({(r[1], r[2]) for r in out}) == n
+    assert len(inner) == n - 2 and len(edges) > n
+
+
+def test_a_key_is_split_into_blocks(spark):
+    """One key's statements in many blocks give the ledger that one block gives."""
+    rnd = random.Random(8)
+    rows = [("a", rnd.choice("XYZ"), rnd.randrange(400), rnd.randrange(60), 0) for _ in range(900)]
+    one, many = ({tuple(r) for r in ledger(spark, rows, block).collect()} for block in (1000, 9))
+    assert one == many and len(one) > 500
