@@ -35,24 +35,23 @@ def locate(events: DataFrame, facts: DataFrame, key: list[str], event_time: str,
     for c in key:
         ev = ev.where(F.col(c).isNotNull())
     ev = ev.withColumns({"_t": t, "_known": known})
-    # the part of the grid that events can touch: a few numbers of the whole table
+    # the part of the grid that events can touch: one row of four numbers, worked out beside the rectangles
     cv, cr = floor_div(F.col("_t"), cell), floor_div(F.col("_known"), cell)
-    low, high, least, most = ev.agg(F.min(cv), F.max(cv), F.min(cr - cv) if known_time else F.lit(0), F.max(cr - cv) if known_time else F.lit(0)).first()
-    if low is None:
-        low, high, least, most = 0, -1, 0, 0
+    span = F.broadcast(ev.agg(F.min(cv).alias("_low"), F.max(cv).alias("_high"), F.min(cr - cv).alias("_least"), F.max(cr - cv).alias("_most")))
     ev = ev.withColumns({"_cv": cv, "_cr": cr}).repartition(*key, "_cv", "_cr").dropDuplicates([*columns, "_cv", "_cr"])
     edge = lambda c, end: F.coalesce(F.unix_micros(c), F.lit(end))
     rect = ledger.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], *extra, F.col(value).alias("_value"),
         edge("valid_from", EVER).alias("_vf"), edge("valid_to", FOREVER).alias("_vt"), edge("recorded_from", EVER).alias("_rf"), edge("recorded_to", FOREVER).alias("_rt"),
     )
-    # cells the rectangle covers, clipped to those that can hold an event
-    v0 = F.greatest(floor_div(F.col("_vf"), cell), floor_div(F.col("_rf"), cell) - F.lit(most), F.lit(low))
-    v1 = F.least(floor_div(F.col("_vt") - 1, cell), floor_div(F.col("_rt") - 1, cell) - F.lit(least), F.lit(high))
+    # cells the rectangle covers, clipped to those that can hold an event; without events the bounds are null and none is left
+    rect = rect.crossJoin(span).where(F.col("_low").isNotNull())
+    v0 = F.greatest(floor_div(F.col("_vf"), cell), floor_div(F.col("_rf"), cell) - F.col("_most"), F.col("_low"))
+    v1 = F.least(floor_div(F.col("_vt") - 1, cell), floor_div(F.col("_rt") - 1, cell) - F.col("_least"), F.col("_high"))
     rect = rect.withColumns({"_v0": v0, "_v1": v1}).where(F.col("_v0") <= F.col("_v1"))
     rect = rect.withColumn("_cv", F.explode(F.sequence("_v0", "_v1")))
-    r0 = F.greatest(floor_div(F.col("_rf"), cell), F.col("_cv") + F.lit(least))
-    r1 = F.least(floor_div(F.col("_rt") - 1, cell), F.col("_cv") + F.lit(most))
+    r0 = F.greatest(floor_div(F.col("_rf"), cell), F.col("_cv") + F.col("_least"))
+    r1 = F.least(floor_div(F.col("_rt") - 1, cell), F.col("_cv") + F.col("_most"))
     rect = rect.withColumns({"_r0": r0, "_r1": r1}).where(F.col("_r0") <= F.col("_r1")).withColumn("_cr", F.explode(F.sequence("_r0", "_r1")))
     on = [ev["_cv"] == rect["_cv"], ev["_cr"] == rect["_cr"], *[ev[c] == rect[f"_k{i}"] for i, c in enumerate(key)]]
     inside = (ev["_t"] >= rect["_vf"]) & (ev["_t"] < rect["_vt"]) & (ev["_known"] >= rect["_rf"]) & (ev["_known"] < rect["_rt"])

@@ -109,11 +109,15 @@ select t.trade_id, 'short_interest', strftime(s.settlement_date, '%Y-%m-%d') fro
 # p3 -----------------------------------------------------------------------------------------------
 
 
-def p3_grid(spark: SparkSession, d: str, values: dict | None = None, carry: list[str] | None = None) -> DataFrame:
-    """One-minute series of each symbol and New York day's regular session, with ``values`` per minute; ``carry`` is held over up to 4 minutes."""
+def p3_grid(spark: SparkSession, d: str, values: dict | None = None, carry: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """One-minute series of each symbol and New York day's regular session, with ``values`` per minute; ``carry`` is held over up to 4 minutes.
+
+    ``whole``: from 09:30 to 15:59, also where a day's readings begin later or end sooner.
+    """
     b = table(spark, d, "bars_1m_raw").where((F.col("volume") > 0) & ~F.isnan("volume"))
     b = b.where(local_minute(F.col("t")).between(570, 959)).withColumn("day", local_date(F.col("t")))
-    return regular_grid.regular_grid(b, ["display_symbol", "day"], floor_div(F.unix_micros("t"), MINUTE), values or {}, carry or [], max_gap=4)
+    opens = floor_div(midnight_micros(F.col("day")), MINUTE) + 570
+    return regular_grid.regular_grid(b, ["display_symbol", "day"], floor_div(F.unix_micros("t"), MINUTE), values or {}, carry or [], max_gap=4, bounds=(opens, opens + 389) if whole else None)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -121,9 +125,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_series(spark: SparkSession, d: str) -> DataFrame:
-    newest = F.struct("t", "transactions", "open", "close", "volume")
+    """Every minute of the regular session of each symbol and day with a reading: read, carried or missing."""
+    newest = F.struct("t", F.coalesce("transactions", F.lit(-1)), "open", "close", "volume")
     values = {"open": F.min_by("open", newest), "high": F.max("high"), "low": F.min("low"), "close": F.max_by("close", newest), "readings": F.count(F.lit(1))}
-    g = p3_grid(spark, d, values, ["close"])
+    g = p3_grid(spark, d, values, ["close"], whole=True)
     return g.select("display_symbol", F.col("bucket").alias("minute"), "state", F.col("since").cast("bigint").alias("since"), "close", F.coalesce("readings", F.lit(0)).cast("bigint").alias("readings"))
 
 
@@ -135,6 +140,17 @@ g as (select display_symbol, lag(m) over (partition by display_symbol, day order
 select display_symbol, gap_from, gap_to from g where gap_to - gap_from >= 5
 """
 
+P3_SERIES_SQL = """
+with b as (select display_symbol, t, cast(timezone('America/New_York', t) as date) as day, epoch_us(t) // 60000000 as m, close, row(t, coalesce(transactions, -1), open, close, volume) as k
+           from bars_1m_raw where volume > 0 and not isnan(volume) and display_symbol is not null
+           and hour(timezone('America/New_York', t)) * 60 + minute(timezone('America/New_York', t)) between 570 and 959),
+r as (select display_symbol, day, m, arg_max(close, k) as close, count(*) as n from b group by all),
+g as (select display_symbol, day, epoch_us(timezone('America/New_York', cast(day as timestamp))) // 60000000 + 570 + unnest(range(390)) as m from (select distinct display_symbol, day from r)),
+f as (select g.*, r.close, r.n, last_value(case when r.m is not null then struct_pack(m := r.m, c := r.close) end ignore nulls) over (partition by g.display_symbol, g.day order by g.m) as l
+      from g left join r on r.display_symbol = g.display_symbol and r.day = g.day and r.m = g.m)
+select display_symbol, m as minute, case when n is not null then 'read' when m - l.m <= 4 then 'carried' else 'missing' end as state, m - l.m as since, case when m - l.m <= 4 then l.c end as close, coalesce(n, 0) as readings from f
+"""
+
 # p4 -----------------------------------------------------------------------------------------------
 
 
@@ -277,4 +293,4 @@ QUERIES = {
     "p1_found": p1_found, "p1_history": p1_history, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p4_state": p4_state,
     "p5_found": p5_found, "p5_stamps": p5_stamps, "p6_found": p6_found, "p6_trailing": p6_trailing, "p7_percentiles": p7_percentiles,
 }
-SQL = {"p1_found": P1_SQL, "p1_history": P1_HISTORY_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p6_trailing": _p6_trailing_sql(), "p7_percentiles": _p7_sql()}
+SQL = {"p1_found": P1_SQL, "p1_history": P1_HISTORY_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_series": P3_SERIES_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p6_trailing": _p6_trailing_sql(), "p7_percentiles": _p7_sql()}

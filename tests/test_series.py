@@ -47,3 +47,12 @@ def test_trailing_totals_equal_brute_force(spark):
                 assert abs(r[f"x_{n}d_total"] - sum(v)) < 1e-9 and abs(r[f"x_{n}d_mean"] - sum(v) / n) < 1e-9
     assert not got
     assert trailing_totals(df.limit(0), ["k"], "day", {"x": F.col("x")}, [7]).count() == 0
+
+
+def test_grid_bounds_mark_what_lies_outside_the_readings(spark):
+    df = spark.createDataFrame([("a", 5), ("a", 40), ("a", 999), ("b", 63)], "s string, b bigint")
+    out = regular_grid(df, ["s"], F.col("b"), {"n": F.count(F.lit(1))}, [], max_gap=3, block=16, bounds=(F.lit(0), F.lit(63))).collect()
+    assert sorted((r.s, r.bucket) for r in out) == [(s, b) for s in "ab" for b in range(64)]
+    state = {(r.s, r.bucket): (r.state, r.since) for r in out}
+    assert state["a", 4] == ("missing", None) and state["a", 5] == ("read", 0) and state["a", 8] == ("carried", 3) and state["a", 9] == ("missing", 4)
+    assert state["a", 63] == ("missing", 23) and state["b", 0] == ("missing", None) and state["b", 63] == ("read", 0)
