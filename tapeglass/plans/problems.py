@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeglass.functions.timeline import MINUTE, floor_div, local_date, local_minute, midnight_micros, valid_symbol
 from tapeglass.operators import bitemporal, known_at, multiselect, regular_grid, stamps, trailing, work_ledger
+from tapeglass.session import cut, shared_folder
 from tapeglass.sources.tables import table
 
 
@@ -155,33 +158,64 @@ select display_symbol, m as minute, case when n is not null then 'read' when m -
 
 
 def work_events(spark: SparkSession, d: str) -> DataFrame:
-    """The work ledger's log of the flat files: offers of ready files and writes finished, by table, day and shard.
+    """The work ledger's log of the flat files, by table, day and shard: offers of ready files, writes finished, and leases of runs that died.
 
-    A write finished the version that was the last complete one when its bookmark was set.
+    A write finished the version that was the last complete one when its bookmark was set.  A bookmark
+    without a finish is a lease that ran out; when it was taken isn't known, so it has the lowest token.
     """
     log = table(spark, d, "download_state").select(F.col("date").alias("day"), "shard", "state_seq", "status", "bytes", "etag", "completed_at").where(F.col("day").isNotNull() & F.col("shard").isNotNull())
-    marks = table(spark, d, "day_done")
-    names = sorted(r[0] for r in marks.where(F.col("table_name").isNotNull()).select("table_name").distinct().limit(1000).collect())  # the kinds of tables, a handful
-    if len(names) == 1000:
-        raise ValueError("day_done names too many tables")
-    timed = lambda df, name: stamps.normalise_stamps(df, "completed_at", None, "UTC", first_year=1970, last_year=2200, micros=name).where(F.col(name).isNotNull())
-    last = log.groupBy("day", "shard").agg(F.max(F.struct("state_seq", "status", "bytes", "etag")).alias("r"))
-    ready = last.where((F.col("r.status") == "done") & (F.col("r.bytes") > 0))
-    tables = F.explode(F.array(*[F.lit(n) for n in names])) if names else F.explode(F.array().cast("array<string>"))
-    offers = ready.select(tables.alias("table_name"), "day", "shard", F.lit("offer").alias("kind"), F.col("r.etag").alias("version"), F.col("r.state_seq").alias("token"))
-    marked = timed(marks, "b").groupBy("table_name", "day", "shard").agg(F.max("b").alias("b"))
-    complete = timed(log.where(F.col("status") == "done"), "c")
-    done = marked.join(complete, ["day", "shard"]).where(F.col("c") <= F.col("b")).groupBy("table_name", "day", "shard").agg(F.max(F.struct("state_seq", "etag")).alias("r"))
-    done = done.select("table_name", "day", "shard", F.lit("done").alias("kind"), F.col("r.etag").alias("version"), F.col("r.state_seq").alias("token"))
-    return offers.unionByName(done).withColumns({"until": F.lit(None).cast("bigint"), "worker": F.lit(None).cast("string")})
+    marks = table(spark, d, "day_done").where(F.col("table_name").isNotNull())
+    timed = lambda df, name: stamps.normalise_stamps(df, "completed_at", None, "UTC", first_year=1970, last_year=2200, micros=name)
+    last = log.groupBy("day", "shard").agg(F.max(F.struct("state_seq", "status", "bytes", "etag")).alias("r")).select("day", "shard", "r.*")
+    ready = last.where((F.col("status") == "done") & (F.col("bytes") > 0))
+    # the kinds of tables, a handful, as one row
+    names = F.broadcast(marks.agg(F.collect_set("table_name").alias("_names")))
+    offers = ready.crossJoin(names).select(F.explode("_names").alias("table_name"), "day", "shard", F.lit("offer").alias("kind"), F.col("etag").alias("version"), F.col("state_seq").alias("token"))
+    marked = timed(marks, "b").groupBy("table_name", "day", "shard").agg(F.max("b").alias("b"), F.max(F.col("b").isNull()).alias("died"))
+    complete = timed(log.where(F.col("status") == "done"), "c").where(F.col("c").isNotNull()).groupBy("day", "shard").agg(F.sort_array(F.collect_set(F.struct("state_seq", "c", "etag"))).alias("all"))  # a file's deliveries
+    at = marked.join(complete, ["day", "shard"])
+    before = F.filter("all", lambda x: x.c <= F.col("b"))
+    done = at.select("table_name", "day", "shard", F.lit("done").alias("kind"), F.try_element_at(before, F.lit(-1)).alias("r")).where(F.col("r").isNotNull()).select("table_name", "day", "shard", "kind", F.col("r.etag").alias("version"), F.col("r.state_seq").alias("token"))
+    none = F.lit(None).cast("bigint")
+    lost = at.where("died").select("table_name", "day", "shard", F.lit("lease").alias("kind"), F.try_element_at("all", F.lit(-1)).getField("etag").alias("version"), F.lit(-1).cast("bigint").alias("token"))
+    return offers.unionByName(done).unionByName(lost).withColumns({"until": F.when(F.col("kind") == "lease", 0).otherwise(none), "worker": F.lit(None).cast("string")})
+
+
+def work_state(spark: SparkSession, d: str) -> DataFrame:
+    return work_ledger.fold(work_events(spark, d), ["table_name", "day", "shard"], now=1)
 
 
 def p4_state(spark: SparkSession, d: str) -> DataFrame:
-    return work_ledger.fold(work_events(spark, d), ["table_name", "day", "shard"]).select("table_name", "day", "shard", "state", "version")
+    """Every write a ready file asks for: pending or done, and the version it is about."""
+    return work_state(spark, d).where(F.col("state") != "withdrawn").select("table_name", "day", "shard", "state", "version")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_state(spark, d).where(F.col("state") == "pending").select("table_name", "day", "shard")
+    return work_state(spark, d).where(F.col("state") == "pending").select("table_name", "day", "shard")
+
+
+def p4_run(spark: SparkSession, d: str) -> DataFrame:
+    """The writes of ``p4_found`` taken through a stored ledger, with a run that dies and a writer that comes back too late.
+
+    The first run leases everything and stops; its leases run out.  The second leases everything again
+    and finishes the even shards, the first one then reports all of it under its old tokens, which
+    changes nothing.  The ledger is compacted, and what the next run has to do is read from the snapshot.
+    """
+    item = F.to_json(F.struct("table_name", "day", "shard"))
+    todo = cut(work_state(spark, d).where(F.col("state") == "pending").select(item.alias("item"), "version"))
+    root = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger, every = work_ledger.WorkLedger(spark, root), todo.count()
+    ledger.offer(todo, 0)
+    first = ledger.lease("first", every, now=0, seconds=60)
+    second = ledger.lease("second", every, now=100, seconds=60)
+    even = F.get_json_object("item", "$.shard").cast("int") % 2 == 0
+    ledger.done(second.where(even), "second", 110)
+    ledger.done(first, "first", 120)
+    ledger.compact()
+    left = cut(ledger.state(1000))
+    ledger.store.remove(root)
+    k = F.from_json("item", "table_name string, day string, shard int")
+    return left.select(k.alias("k"), "state").select("k.*", "state")
 
 
 P4_SQL = """
@@ -196,6 +230,10 @@ select t.table_name, f.day, f.shard from f cross join t left join g on g.table_n
 where f.r.s = 'done' and f.r.b > 0 and (g.r is null or g.r.e is distinct from f.r.e)
 """
 
+_P4_CASE = "where f.r.s = 'done' and f.r.b > 0 and (g.r is null or g.r.e is distinct from f.r.e)"
+P4_STATE_SQL = P4_SQL.replace("select t.table_name, f.day, f.shard from", "select t.table_name, f.day, f.shard, case when g.r is null or g.r.e is distinct from f.r.e then 'pending' else 'done' end as state, f.r.e as version from").replace(_P4_CASE, "where f.r.s = 'done' and f.r.b > 0")
+P4_RUN_SQL = P4_SQL.replace("select t.table_name, f.day, f.shard from", "select t.table_name, f.day, f.shard, case when f.shard % 2 = 0 then 'done' else 'pending' end as state from")
+
 # p5 -----------------------------------------------------------------------------------------------
 
 
@@ -290,7 +328,7 @@ def _p7_sql() -> str:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_history": p1_history, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p4_state": p4_state,
+    "p1_found": p1_found, "p1_history": p1_history, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p4_state": p4_state, "p4_run": p4_run,
     "p5_found": p5_found, "p5_stamps": p5_stamps, "p6_found": p6_found, "p6_trailing": p6_trailing, "p7_percentiles": p7_percentiles,
 }
-SQL = {"p1_found": P1_SQL, "p1_history": P1_HISTORY_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_series": P3_SERIES_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p6_trailing": _p6_trailing_sql(), "p7_percentiles": _p7_sql()}
+SQL = {"p1_found": P1_SQL, "p1_history": P1_HISTORY_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_series": P3_SERIES_SQL, "p4_found": P4_SQL, "p4_state": P4_STATE_SQL, "p4_run": P4_RUN_SQL, "p6_found": P6_SQL, "p6_trailing": _p6_trailing_sql(), "p7_percentiles": _p7_sql()}

@@ -47,3 +47,44 @@ def test_log_survives_failures(spark, tmp_path):
     led.offer(spark.createDataFrame([("a", "2")], "item string, version string"), 23)
     assert {r.item: r.state for r in led.state(23).collect()} == {"a": "pending", "b": "done"}
     assert output_path("r", "a", "1") == output_path("r", "a", "1") != output_path("r", "a", "2") and output_path("r", "a", None) != output_path("r", "a", "")
+
+
+def test_planners_cannot_take_the_same_number(spark, tmp_path):
+    items = spark.createDataFrame([(x, "1") for x in "abc"], "item string, version string")
+    one, two = (WorkLedger(spark, str(tmp_path / "log")) for _ in range(2))
+    one.offer(items, 0)
+    plain, met = two.position, []
+
+    def late():
+        """The second planner looks, and before it claims the number the first one takes everything."""
+        at = plain()
+        if not met:
+            met.append(at)
+            one.lease("w1", 2, now=0, seconds=100)
+        return at
+
+    two.position = late
+    got = two.lease("w2", 3, now=0, seconds=100)
+    assert [r.item for r in got.collect()] == ["c"] and met
+    two.position = plain
+    assert {r.item: r.worker for r in two.state(1).collect()} == {"a": "w1", "b": "w1", "c": "w2"}
+
+
+def test_snapshots_and_what_dies_before_its_commit(spark, tmp_path):
+    root = str(tmp_path / "log")
+    led = WorkLedger(spark, root)
+    assert led.state(0).count() == 0 and led.compact() == 0
+    led.offer(spark.createDataFrame([("a", "1"), ("b", None)], "item string, version string"), 0)
+    mine = led.lease("w", 9, now=0, seconds=10)
+    before = sorted(map(tuple, led.state(5).collect()))
+    assert led.compact() == 2 == led.compact()
+    assert sorted(map(tuple, led.state(5).collect())) == before
+    led._write(spark.createDataFrame([("x", "offer", "1", 9, None, None, 0)], LOG))  # written, never claimed
+    assert sorted(map(tuple, led.state(5).collect())) == before
+    later = led.lease("v", 9, now=50, seconds=10)
+    assert sorted(r.item for r in led.stale(mine).collect()) == ["a", "b"] and led.stale(later).count() == 0
+    led.done(mine, "w", 51)
+    led.done(later.where("item = 'a'"), "v", 52)
+    assert {r.item: r.state for r in led.state(99).collect()} == {"a": "done", "b": "pending"}
+    led.compact()
+    assert {r.item: r.state for r in led.state(99).collect()} == {"a": "done", "b": "pending"}
