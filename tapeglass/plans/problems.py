@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeglass.functions.timeline import MINUTE, floor_div, local_date, local_minute, midnight_micros, valid_symbol
 from tapeglass.operators import bitemporal, known_at, multiselect, regular_grid, stamps, trailing, work_ledger
-from tapeglass.session import cut, shared_folder
+from tapeglass.session import cut, remove, shared_folder
 from tapeglass.sources.tables import table
 
 
@@ -174,11 +174,12 @@ def work_events(spark: SparkSession, d: str) -> DataFrame:
     marked = timed(marks, "b").groupBy("table_name", "day", "shard").agg(F.max("b").alias("b"), F.max(F.col("b").isNull()).alias("died"))
     complete = timed(log.where(F.col("status") == "done"), "c").where(F.col("c").isNotNull()).groupBy("day", "shard").agg(F.sort_array(F.collect_set(F.struct("state_seq", "c", "etag"))).alias("all"))  # a file's deliveries
     at = marked.join(complete, ["day", "shard"])
-    before = F.filter("all", lambda x: x.c <= F.col("b"))
-    done = at.select("table_name", "day", "shard", F.lit("done").alias("kind"), F.try_element_at(before, F.lit(-1)).alias("r")).where(F.col("r").isNotNull()).select("table_name", "day", "shard", "kind", F.col("r.etag").alias("version"), F.col("r.state_seq").alias("token"))
-    none = F.lit(None).cast("bigint")
-    lost = at.where("died").select("table_name", "day", "shard", F.lit("lease").alias("kind"), F.try_element_at("all", F.lit(-1)).getField("etag").alias("version"), F.lit(-1).cast("bigint").alias("token"))
-    return offers.unionByName(done).unionByName(lost).withColumns({"until": F.when(F.col("kind") == "lease", 0).otherwise(none), "worker": F.lit(None).cast("string")})
+    done = F.try_element_at(F.filter("all", lambda x: x.c <= F.col("b")), F.lit(-1))
+    newest = F.try_element_at("all", F.lit(-1))
+    event = lambda kind, r, token: F.struct(F.lit(kind).alias("kind"), r["etag"].alias("version"), token.cast("bigint").alias("token"))
+    told = F.filter(F.array(F.when(done.isNotNull(), event("done", done, done["state_seq"])), F.when(F.col("died"), event("lease", newest, F.lit(-1)))), lambda e: e.isNotNull())
+    told = at.select("table_name", "day", "shard", told.alias("told")).select("table_name", "day", "shard", F.inline("told"))
+    return offers.unionByName(told).withColumns({"until": F.when(F.col("kind") == "lease", F.lit(0)).cast("bigint"), "worker": F.lit(None).cast("string")})
 
 
 def work_state(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +214,7 @@ def p4_run(spark: SparkSession, d: str) -> DataFrame:
     ledger.done(first, "first", 120)
     ledger.compact()
     left = cut(ledger.state(1000))
-    ledger.store.remove(root)
+    remove(spark, root)
     k = F.from_json("item", "table_name string, day string, shard int")
     return left.select(k.alias("k"), "state").select("k.*", "state")
 
@@ -304,16 +305,33 @@ def standing_trades(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("trade_id", "security_id", "entry_t").agg(F.max(own).alias("r")).select("trade_id", "security_id", "entry_t", "r.config_id", "r.addv_20d", "r.realized_vol_21d")
 
 
+#: values of a group in one run of the queries below
+RUN_ROWS = 100_000
+
+
+def trade_runs(trades: DataFrame) -> DataFrame:
+    groups = {"config": F.col("config_id"), "day": local_date(F.col("entry_t")), "security": F.col("security_id")}
+    return multiselect.sorted_runs(trades, groups, {"addv_20d": F.col("addv_20d"), "realized_vol_21d": F.col("realized_vol_21d")})
+
+
+def _p7_columns(p: DataFrame) -> DataFrame:
+    return p.select("grouping", F.col("grp").alias("group_key"), "measure", "n", *[F.col("values")[j].alias(f"p{round(100 * q)}") for j, q in enumerate(PROBS)])
+
+
 def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of two trailing figures by New York entry day, security and config, of the standing deliveries."""
-    t = standing_trades(spark, d)
-    runs = multiselect.sorted_runs(
-        t,
-        {"config": F.col("config_id"), "day": local_date(F.col("entry_t")), "security": F.col("security_id")},
-        {"addv_20d": F.col("addv_20d"), "realized_vol_21d": F.col("realized_vol_21d")},
-    )
-    p = multiselect.percentiles(runs, list(PROBS))
-    return p.select("grouping", F.col("grp").alias("group_key"), "measure", "n", *[F.col("values")[j].alias(f"p{round(100 * q)}") for j, q in enumerate(PROBS)])
+    return _p7_columns(multiselect.percentiles(trade_runs(standing_trades(spark, d)), list(PROBS), RUN_ROWS))
+
+
+def p7_combined(spark: SparkSession, d: str) -> DataFrame:
+    """The same from runs stored for each half of the trades and put together afterwards, nothing sorted anew."""
+    root, trades = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}", standing_trades(spark, d)
+    half = F.pmod(F.col("trade_id"), F.lit(2)) == 0
+    for name, part in (("a", trades.where(half)), ("b", trades.where(~half))):
+        multiselect.store_runs(trade_runs(part), f"{root}/{name}")
+    out = cut(_p7_columns(multiselect.percentiles(multiselect.stored_runs(spark, [f"{root}/a", f"{root}/b"]), list(PROBS), RUN_ROWS)))
+    remove(spark, root)
+    return out
 
 
 def _p7_sql() -> str:
@@ -329,6 +347,6 @@ def _p7_sql() -> str:
 
 QUERIES = {
     "p1_found": p1_found, "p1_history": p1_history, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p4_state": p4_state, "p4_run": p4_run,
-    "p5_found": p5_found, "p5_stamps": p5_stamps, "p6_found": p6_found, "p6_trailing": p6_trailing, "p7_percentiles": p7_percentiles,
+    "p5_found": p5_found, "p5_stamps": p5_stamps, "p6_found": p6_found, "p6_trailing": p6_trailing, "p7_percentiles": p7_percentiles, "p7_combined": p7_combined,
 }
-SQL = {"p1_found": P1_SQL, "p1_history": P1_HISTORY_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_series": P3_SERIES_SQL, "p4_found": P4_SQL, "p4_state": P4_STATE_SQL, "p4_run": P4_RUN_SQL, "p6_found": P6_SQL, "p6_trailing": _p6_trailing_sql(), "p7_percentiles": _p7_sql()}
+SQL = {"p1_found": P1_SQL, "p1_history": P1_HISTORY_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_series": P3_SERIES_SQL, "p4_found": P4_SQL, "p4_state": P4_STATE_SQL, "p4_run": P4_RUN_SQL, "p6_found": P6_SQL, "p6_trailing": _p6_trailing_sql(), "p7_percentiles": _p7_sql(), "p7_combined": _p7_sql()}

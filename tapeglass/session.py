@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.
 
     A cluster names it in ``spark.checkpoint.dir``.  Where that is unset (a local run or a test)
-    a temporary folder of this machine serves, and only if the master is local.
+    a temporary folder of this machine serves, and only if the master is local; it goes when Python ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -40,6 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix=f"tapeglass-{os.getpid()}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -51,3 +54,9 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables, on any file system Hadoop knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
