@@ -18,6 +18,7 @@ from tapeglass.session import cut
 _PHI = 0.6180339887498949
 _CHUNKS = 4096
 _SLOTS = 65_536
+_CELLS = 4096
 
 
 def blocks(sizes: DataFrame, block_tokens: int, seed: int) -> DataFrame:
@@ -69,31 +70,41 @@ def mixture(sizes: DataFrame, targets: DataFrame, block_tokens: int = 1024, tota
     empty = f"slot bigint, source string, repeat_no int, doc_id {sizes.schema['doc_id'].dataType.simpleString()}, n_tokens bigint"
     if not live:
         return spark.createDataFrame([], empty)
-    b = blocks(s.where(F.col("source").isin([r["source"] for r in live])), block_tokens, seed)
+    # each source's stretch of the unit interval, filed under the cells it touches: a lookup by cell, whatever the number of sources
+    stretches, upto = [], 0.0
+    for k, r in enumerate(live):
+        low, upto = upto, upto + r["weight"] if k + 1 < len(live) else 2.0
+        for c in range(int(low * _CELLS), min(int(upto * _CELLS), _CELLS - 1) + 1):
+            stretches.append((c, low, upto, r["source"], -(-r["tokens"] // block_tokens), r["repeats"]))
+    lookup = F.broadcast(spark.createDataFrame(stretches, "_cell int, _low double, _high double, source string, _n bigint, _most int"))  # a row per cell and source at most, 10,000 sources
+    b = blocks(s.join(F.broadcast(spark.createDataFrame([(r["source"],) for r in live], "source string")), "source", "left_semi"), block_tokens, seed)
     u = (F.col("id") + F.lit(0.5)) * F.lit(_PHI)
-    slots = spark.range(0, max(1, round(total / block_tokens))).withColumn("u", u - F.floor(u))
-    source, count, repeats, upto = F.lit(live[-1]["source"]), F.lit(0), F.lit(0), sum(r["weight"] for r in live)
-    for r in reversed(live):
-        source = F.when(F.col("u") < upto, r["source"]).otherwise(source)
-        upto -= r["weight"]
-    for r in live:
-        count = F.when(F.col("source") == r["source"], -(-r["tokens"] // block_tokens)).otherwise(count)
-        repeats = F.when(F.col("source") == r["source"], r["repeats"]).otherwise(repeats)
-    slots = slots.select("id", source.alias("source"), F.floor(F.col("id") / _SLOTS).alias("_c"))
+    slots = spark.range(0, max(1, round(total / block_tokens))).withColumn("u", u - F.floor(u)).withColumn("_at", F.floor(F.col("u") * _CELLS).cast("int"))
+    slots = slots.join(lookup, (F.col("_at") == F.col("_cell")) & (F.col("u") >= F.col("_low")) & (F.col("u") < F.col("_high")))
+    slots = slots.select("id", "source", "_n", "_most", F.floor(F.col("id") / _SLOTS).alias("_c"))
     per = slots.groupBy("source", "_c").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select(F.col("source").alias("_s"), F.col("_c").alias("_pc"), before.alias("_before"))
     rank = F.row_number().over(Window.partitionBy("source", "_c").orderBy("id")) - 1
     slots = slots.join(per, (F.col("source") == F.col("_s")) & (F.col("_c") == F.col("_pc"))).withColumn("_r", F.col("_before") + rank)
-    slots = slots.withColumns({"_n": count.cast("bigint"), "_most": repeats}).withColumns({"block": F.pmod("_r", "_n"), "repeat_no": F.floor(F.col("_r") / F.col("_n")).cast("int")})
+    slots = slots.withColumns({"block": F.pmod("_r", "_n"), "repeat_no": F.floor(F.col("_r") / F.col("_n")).cast("int")})
     slots = slots.where(F.col("repeat_no") < F.col("_most")).select(F.col("id").alias("slot"), F.col("source").alias("_slot_source"), F.col("block").alias("_slot_block"), "repeat_no")
     return slots.join(b, (F.col("_slot_source") == F.col("source")) & (F.col("_slot_block") == F.col("block"))).select("slot", "source", "repeat_no", "doc_id", "n_tokens")
 
 
-def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, actual_share, tokens, documents, most_uses of every source with a target."""
-    used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"), (F.max("repeat_no") + 1).alias("most_uses"))
+def shares(mixed: DataFrame, targets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """source, target_share, actual_share, tokens, documents, most_uses, tokens_there, tokens_unused of every source with a target.
+
+    ``tokens_there``: of the source's documents in ``sizes``; ``tokens_unused``: of those that are not in the mixture at all.
+    """
+    once = mixed.groupBy("source", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("uses"), F.max("repeat_no").alias("last"))
+    used = once.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.sum("n_tokens").alias("apart"), F.count(F.lit(1)).alias("documents"), (F.max("last") + 1).alias("most_uses"))
+    there = sizes.where(F.col("n_tokens") > 0).groupBy(F.col("source").alias("_h")).agg(F.sum("n_tokens").cast("bigint").alias("there"))
     t = targets.where(F.col("source").isNotNull()).groupBy(F.col("source").alias("_t")).agg(F.max("target_share").alias("target_share"))
-    j = t.join(used, F.col("_t") == F.col("source"), "left")
+    j = t.join(used, F.col("_t") == F.col("source"), "left").join(there, F.col("_t") == F.col("_h"), "left")
     whole = F.sum("tokens").over(Window.partitionBy())  # over the few sources
-    return j.select(F.col("_t").alias("source"), "target_share", F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    none = F.lit(0).cast("bigint")
+    return j.select(
+        F.col("_t").alias("source"), "target_share", F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("actual_share"), *[F.coalesce(c, none).alias(c) for c in ("tokens", "documents", "most_uses")],
+        F.coalesce("there", none).alias("tokens_there"), (F.coalesce("there", none) - F.coalesce("apart", none)).alias("tokens_unused"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeglass.llm import chunking, mixing, tiling, tokens
+from tapeglass.session import cut
 from tapeglass.sources.tables import table
 
 
@@ -32,7 +33,9 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(p9_mixture(spark, d), table(spark, d, "mix_targets"))
+    sizes = cut(_sizes(spark, d).select("source", "doc_id", "n_tokens"))
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mixture(sizes, targets), targets, sizes)
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -1,18 +1,19 @@
 """Evaluation texts leaking into training text, by greedy string tiling.
 
-Items and documents become words; windows of ``least`` words get a rolling (Karp-Rabin) hash, and the
-windows of a document that an item has too are the seeds.  Seeds in a row on one diagonal make a match
-as long as it goes.  Matches are marked from the longest down, none over words already marked, and what
-a marked word cuts off is taken again if it is still long enough.  The tiles left tell how long the
-longest shared passage is and how much of the item the document holds, in whatever order.
-
-Documents are read once per block of items and never shuffled: a block's words and seeds, within a
-stated size, go to every task.
+Items and documents become words, and windows of ``least`` words get a rolling (Karp-Rabin) hash.  A
+bitmap of fixed size tells which windows an item may have; what it lets through of the documents is
+little, and only that is kept.  Windows of documents and items are joined on their hash; a document and
+an item that share one are tiled: the longest passage both have is looked for by Karp-Rabin at falling
+lengths, marked, and looked for again among the words not yet marked, none shorter than ``least``.  The
+tiles tell how long the longest shared passage is and how much of the item the document holds, in
+whatever order.
+
+The documents are read once and never shuffled, only their suspicious passages are.  Neither the items
+nor any fingerprints of documents come to the driver; of the items it holds the bitmap.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,151 +21,206 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeglass.llm.words import words
+from tapeglass.llm.words import hashed
+from tapeglass.session import cut
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-SCHEMA = "_row string, item_id bigint, tiles int, longest int, covered int, item_words int"
+_BASE = 0x9E3779B97F4A7C15
+_WRAP = 1 << 64
+#: item windows up to this many rows (some 50 bytes each) and items up to this many characters may be broadcast
+BROADCAST_ROWS = 1_000_000
+BROADCAST_CHARS = 20_000_000
+#: copies of the item windows when they are not broadcast, so that a window a great many documents have meets several tasks
+SALT = 16
+
+
+def powers(n: int) -> np.ndarray:
+    """The first n powers of the hash's base, modulo 2**64."""
+    out = np.full(n, _BASE, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
 def rolling(ids: np.ndarray, least: int) -> np.ndarray:
-    """Hash of each window of ``least`` numbers, modulo 2**64."""
+    """Hash of each window of ``least`` numbers, modulo 2**64; the cost doesn't depend on ``least``."""
     n = len(ids) - least + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    x, h = ids.astype(np.uint64), np.zeros(n, dtype=np.uint64)
-    for k in range(least):
-        h *= _BASE
-        h += x[k : k + n] * np.uint64(0xD6E8FEB86659FD93)
-    return h
-
-
-def tile(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (document position, item position, length) grown from ``seeds`` (pairs of equal windows)."""
-    heap: list[tuple[int, int, int]] = []
-    by: dict[int, list[int]] = {}
-    for d, i in seeds:
-        by.setdefault(d - i, []).append(i)
-    for diagonal, at in by.items():
-        at.sort()
-        start = last = at[0]
-        for i in [*at[1:], None]:
-            if i is not None and i == last + 1:
-                last = i
+    x = ids.astype(np.uint64)
+    if least <= 32:
+        h = np.zeros(n, dtype=np.uint64)
+        for k in range(least):
+            h *= np.uint64(_BASE)
+            h += x[k : k + n]
+        return h
+    # sums of x[i] * base**-i, brought to one power again
+    w = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x * _inverse_powers(len(x)))])
+    return (w[least:] - w[:-least]) * powers(len(x))[least - 1 :]
+
+
+def _inverse_powers(n: int) -> np.ndarray:
+    out = np.full(n, pow(_BASE, -1, _WRAP), dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _whole(used: np.ndarray, length: int) -> np.ndarray:
+    """Whether each window of ``length`` has no word that is used."""
+    c = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(used)])
+    return c[length:] == c[:-length]
+
+
+def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (document position, item position, length), longest first, then by place.
+
+    The greatest length at which the unmarked words share a window is found by halving, all windows of
+    that length are marked in order of their places as far as they are still free, and so on down to
+    ``least``.  A length costs a few passes over the words, however often a word repeats.  A zero stands
+    for no word.
+    """
+    d_used, i_used, tiles = doc == 0, item == 0, []
+    hashes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def shared(n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of windows of length n that both sides have free."""
+        if n not in hashes:
+            hashes[n] = rolling(doc, n), rolling(item, n)
+        hd, hi = hashes[n]
+        d, i = np.flatnonzero(_whole(d_used, n)), np.flatnonzero(_whole(i_used, n))
+        both = np.intersect1d(hd[d], hi[i])
+        return d[np.isin(hd[d], both)], i[np.isin(hi[i], both)]
+
+    most = min(len(doc), len(item))
+    while most >= least:
+        low, high = least - 1, most
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if len(shared(n)[0]) else (low, n - 1)
+        if low < least:
+            break
+        n = low
+        d_at, i_at = shared(n)
+        hd, hi = hashes[n]
+        places: dict[int, list[int]] = {}
+        for i in i_at[::-1].tolist():
+            places.setdefault(int(hi[i]), []).append(i)
+        free_from = 0
+        for d in d_at.tolist():
+            if d < free_from:
                 continue
-            heap.append((-(last - start + least), start + diagonal, start))
-            if i is not None:
-                start = last = i
-    heapq.heapify(heap)
-    d_used, i_used, tiles = np.zeros(len(doc), dtype=bool), np.zeros(len(item), dtype=bool), []
-    while heap:
-        length, d, i = heapq.heappop(heap)
-        length = -length
-        free = ~(d_used[d : d + length] | i_used[i : i + length])
-        if free.all():
-            tiles.append((d, i, length))
-            d_used[d : d + length] = True
-            i_used[i : i + length] = True
-            continue
-        edge = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8)))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if b - a >= least:
-                heapq.heappush(heap, (-(b - a), d + a, i + a))
+            mine = places[int(hd[d])]
+            while mine and i_used[mine[-1] : mine[-1] + n].any():
+                mine.pop()
+            # the hash only proposes; the words decide
+            if mine and np.array_equal(doc[d : d + n], item[mine[-1] : mine[-1] + n]):
+                i = mine.pop()
+                tiles.append((d, i, n))
+                d_used[d : d + n] = True
+                i_used[i : i + n] = True
+                free_from = d + n
+        hashes.clear()
+        most = n - 1
     return tiles
 
 
-class Block:
-    """A block of items as tasks need it: the numbers of its words, and its seeds sorted by hash."""
-
-    def __init__(self, items: list[tuple[int, str | None]], least: int):
-        self.least, self.vocabulary, self.items = least, {}, []
-        for item_id, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], dtype=np.int64)
-            self.items.append((item_id, ids))
-        hashes = [rolling(ids, least) for _, ids in self.items]
-        h = np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)])
-        owner = np.concatenate([*[np.full(len(x), k) for k, x in enumerate(hashes)], np.zeros(0, dtype=np.int64)]).astype(np.int64)
-        at = np.concatenate([*[np.arange(len(x)) for x in hashes], np.zeros(0, dtype=np.int64)]).astype(np.int64)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.owner, self.at = h[order], owner[order], at[order]
-
-    def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """(text number, item number, tiles) of every text and item that share ``least`` words in a row."""
-        get, ids, starts = self.vocabulary.get, [], []
-        for t in texts:
-            starts.append(len(ids))
-            ids.extend([get(w, 0) for w in words(t)])
-            ids.append(0)
-        everything = np.array(ids, dtype=np.int64)
-        known = everything > 0
-        # a window may hold known words only
-        run = np.cumsum(~known)
-        h = rolling(everything, self.least)
-        if not len(h) or not len(self.hash):
-            return
-        whole = np.flatnonzero(known[: len(h)] & (run[self.least - 1 :] == run[: len(h)]))
-        lo, hi = np.searchsorted(self.hash, h[whole], "left"), np.searchsorted(self.hash, h[whole], "right")
-        hit = np.flatnonzero(hi > lo)
-        starts_a = np.array(starts)
-        seeds: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for p, a, b in zip(whole[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
-            t = int(np.searchsorted(starts_a, p, "right")) - 1
-            for s in range(a, b):
-                k, i = int(self.owner[s]), int(self.at[s])
-                # the hash only proposes; the words decide
-                if np.array_equal(everything[p : p + self.least], self.items[k][1][i : i + self.least]):
-                    seeds.setdefault((t, k), []).append((p - starts[t], i))
-        ends = [*starts[1:], len(ids)]
-        for (t, k), pairs in sorted(seeds.items()):
-            yield t, k, tile(everything[starts[t] : ends[t]], self.items[k][1], pairs, self.least)
-
-
-def item_blocks(items: DataFrame, item_id: str, text: str, most_chars: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most ``most_chars`` characters, or one item if it is longer.
-
-    Items are read block by block, so the driver never holds more than one block beside the list.
-    """
-    blocks, block, size = [], [], 0
-    for row in items.where(F.col(item_id).isNotNull()).select(item_id, text).distinct().orderBy(item_id, text).toLocalIterator():
-        n = len(row[1] or "")
-        if block and size + n > most_chars:
-            blocks.append(block)
-            block, size = [], 0
-        block.append((row[0], row[1]))
-        size += n
-    return [*blocks, block] if block else blocks
-
-
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 13, most_chars: int = 20_000_000) -> DataFrame:
+def windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(item, ids): the item's words as numbers, and its different windows."""
+    for b in batches:
+        ids, at = hashed(b.column(1).to_pylist())
+        own = [ids[x : y - 1] for x, y in zip(at, [*at[1:], len(ids)], strict=True)]
+        hashes = [np.unique(rolling(x, least)).view(np.int64) for x in own]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))], names=["_item", "_words", "_windows"])
+
+
+def bitmap(hashes: DataFrame, most_bits: int) -> np.ndarray:
+    """Bits of the hashes in column ``h``, 16 or more for each as far as ``most_bits`` allow: 32,768 bits a row come to the driver."""
+    n = hashes.count()
+    bits = 1 << 15
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    at = F.pmod("h", F.lit(bits)) + 1  # bitmap positions count from 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    return out
+
+
+def suspicious(ids: np.ndarray, at: list[int], bits: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(text number, words of its suspicious passages with zeros between, their different windows) of each text that has some."""
+    h = rolling(ids, least)
+    if not len(h):
+        return
+    slot = h & np.uint64(len(bits) * 8 - 1)
+    let = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    # a window may not reach over the end of a text
+    hits = np.flatnonzero(let)
+    hits = hits[_whole(ids == 0, least)[hits]] if len(hits) else hits
+    if not len(hits):
+        return
+    text = np.searchsorted(np.array(at), hits, "right") - 1
+    for t in np.unique(text):
+        mine = hits[text == t]
+        first = mine[np.r_[True, np.diff(mine) > least]]
+        parts = []
+        for a, z in zip(first, np.r_[mine[np.flatnonzero(np.diff(mine) > least)], mine[-1:]], strict=True):
+            parts += [ids[a : z + least], np.zeros(1, dtype=ids.dtype)]
+        yield int(t), np.concatenate(parts), np.unique(h[mine])
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 13, most_bits: int = 1 << 28, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every document and item that share ``least`` or more words in a row: doc_id, item_id, tiles, longest, covered, item_words, coverage.
 
     ``longest``: words of the longest passage; ``covered``: words of the item under tiles, in any
-    order; ``coverage``: their share of the item.  ``most_chars``: size of a block of items.
+    order; ``coverage``: their share of the item.  ``most_bits``: size of the bitmap; more windows than
+    it can hold well let more of the documents through, and the join still decides.  Words are compared
+    by 64 bits.
 
     Defined cases: null and empty texts share nothing; items shorter than ``least`` words can't leak;
-    repeated documents have a row each, repeated rows of one item count once (two texts under one id:
-    the longer passage); further columns are ignored; empty tables give no rows.
+    repeated documents have a row each, rows with one doc_id count together, repeated rows of one item
+    count once (two texts under one id: the longer passage); further columns are ignored; empty tables
+    give no rows.
     """
-    kind = documents.schema[doc_id].dataType
+    spark = documents.sparkSession
+    kind, item_kind = documents.schema[doc_id].dataType, items.schema[item_id].dataType
+    named = items.select(F.col(item_id).cast("string").alias("_item"), F.col(item_text).alias("_text")).where(F.col("_item").isNotNull() & F.col("_text").isNotNull()).distinct()
+    told = cut(named.mapInArrow(lambda batches: windows(batches, least), "_item string, _words array<bigint>, _windows array<bigint>").where(F.size("_windows") > 0).withColumn("_no", F.monotonically_increasing_id()))
+    asked = told.select(F.explode("_windows").alias("h"), "_no")
+    held = spark.sparkContext.broadcast(bitmap(asked.select("h").distinct(), most_bits))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for b in batches:
+            names, rows = b.column(0), list(suspicious(*hashed(b.column(1).to_pylist()), bits, least))
+            if rows:
+                t, passages, h = zip(*rows, strict=True)
+                as_list = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(t)), as_list(passages), as_list(h)], names=["_row", "_passages", "_windows"])
+
     docs = documents.select(F.col(doc_id).cast("string").alias("_row"), F.col(text).alias("_text")).where(F.col("_text").isNotNull() & F.col("_row").isNotNull())
-    spark, found = documents.sparkSession, None
-    for rows in item_blocks(items, item_id, item_text, most_chars):
-        block = spark.sparkContext.broadcast(Block(rows, least))
-
-        def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            b = block.value
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                out = []
-                for t, k, tiles in b.matches(texts):
-                    lengths = [n for _, _, n in tiles]
-                    out.append((ids[t], b.items[k][0], len(tiles), max(lengths), sum(lengths), len(b.items[k][1])))
-                cols = list(zip(*out, strict=True)) if out else [[]] * 6
-                kinds = [pa.string(), pa.int64(), *[pa.int32()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, n) for c, n in zip(cols, kinds, strict=True)], names=["_row", "item_id", "tiles", "longest", "covered", "item_words"])
-
-        part = docs.mapInArrow(scan, SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], SCHEMA)
-    found = found.groupBy("_row", "item_id").agg(F.max(F.struct("longest", "covered", "tiles", "item_words")).alias("r"))
-    return found.select(F.col("_row").cast(kind).alias(doc_id), "item_id", "r.tiles", "r.longest", "r.covered", "r.item_words", (F.col("r.covered") / F.col("r.item_words")).alias("coverage"))
+    found = cut(docs.mapInArrow(scan, "_row string, _passages array<bigint>, _windows array<bigint>").withColumn("_doc", F.monotonically_increasing_id()))
+    few = asked.count() <= broadcast_rows
+    seen = found.select("_doc", F.explode("_windows").alias("h"))
+    if few:
+        pairs = seen.join(F.broadcast(asked), "h")  # counted above
+    else:
+        salted = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        pairs = seen.withColumn("_salt", F.pmod("_doc", F.lit(SALT)).cast("int")).join(salted, ["h", "_salt"])
+    pairs = pairs.select("_doc", "_no").distinct()
+    words = told.select("_no", "_item", "_words")
+    if few and (told.agg(F.sum(F.size("_words"))).first()[0] or 0) <= BROADCAST_CHARS // 8:
+        words = F.broadcast(words)
+    both = found.select("_doc", "_row", "_passages").join(pairs, "_doc").join(words, "_no").select("_row", "_item", "_passages", "_words")
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (b.column(2), b.column(3))]
+            for k in range(b.num_rows):
+                doc, item = (flat[off[k] : off[k + 1]].view(np.uint64) for off, flat in lists)
+                lengths = [n for _, _, n in tile(doc, item, least)]
+                out.append((len(lengths), max(lengths, default=0), sum(lengths), len(item)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int32()) for c in (zip(*out, strict=True) if out else [[]] * 4)]], names=["_row", "_item", "tiles", "longest", "covered", "item_words"])
+
+    tiled = both.mapInArrow(lay, "_row string, _item string, tiles int, longest int, covered int, item_words int").where(F.col("longest") >= least)
+    best = tiled.groupBy("_row", "_item").agg(F.max(F.struct("longest", "covered", "tiles", "item_words")).alias("r"))
+    return best.select(F.col("_row").cast(kind).alias(doc_id), F.col("_item").cast(item_kind).alias("item_id"), "r.tiles", "r.longest", "r.covered", "r.item_words", (F.col("r.covered") / F.col("r.item_words")).alias("coverage"))

@@ -6,6 +6,8 @@ import html
 import re
 import unicodedata
 
+import numpy as np
+
 #: fixed values: tags that stand inside a line and don't part words
 INLINE = "a abbr b big cite code del em font i ins kbd mark q s samp small span strike strong sub sup tt u var wbr".split()
 
@@ -21,8 +23,13 @@ def words(text: str | None) -> list[bytes]:
 
     Words are UTF-8.  Null and empty texts have none.
     """
+    return plain(text).split()
+
+
+def plain(text: str | None) -> bytes:
+    """The text with blanks for all that is no word; see ``words``."""
     if not text:
-        return []
+        return b""
     if "<" in text:
         text = _TAG.sub(" ", _INLINE_TAG.sub("", text))
     if "&" in text:
@@ -37,4 +44,46 @@ def words(text: str | None) -> list[bytes]:
         for c in set(text):
             if c > "\x7f" and not c.isalnum():
                 text = text.replace(c, " ")
-    return text.encode("utf-8", "replace").translate(_TABLE).split()
+    return text.encode("utf-8", "replace").translate(_TABLE)
+
+
+_BASE = 0xC2B2AE3D27D4EB4F
+_powers = np.ones((2, 1), dtype=np.uint64)
+
+
+def _tables(n: int) -> np.ndarray:
+    """Powers of the base and of its inverse, modulo 2**64; kept and made longer when needed."""
+    global _powers
+    if _powers.shape[1] < n:
+        out = np.ones((2, max(n, 2 * _powers.shape[1])), dtype=np.uint64)
+        out[:, 1:] = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], dtype=np.uint64)
+        _powers = np.multiply.accumulate(out, axis=1)
+    return _powers
+
+
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+    """The words of all texts as 64-bit numbers in one array, a zero after each text, and where each text begins.
+
+    A word's number depends on its bytes alone.
+    """
+    # a byte that UTF-8 doesn't have stands after each text, apart from the words
+    parts = [plain(t) for t in texts]
+    raw = np.frombuffer(b"".join([p + b" \xff " for p in parts]), dtype=np.uint8)
+    if not len(raw):
+        return np.zeros(0, dtype=np.uint64), []
+    inside = (raw > 32).view(np.int8)
+    edge = np.flatnonzero(np.diff(inside, prepend=0, append=0))
+    begin, end = edge[::2], edge[1::2]
+    up, down = _tables(len(raw))[:, : len(raw)]
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(raw * up)])
+    h = (total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)
+    # mixed, so that every bit depends on every byte
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x9FB21C651E98DF25)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h |= np.uint64(1)
+    last = raw[begin] == 255
+    h[last] = 0
+    return h, np.r_[0, np.flatnonzero(last)[:-1] + 1].tolist()

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tapeglass.llm.mixing import mixture, shares
 
 
@@ -22,7 +24,7 @@ def test_shares_follow_targets_and_repeats_are_capped(spark):
     source = {i: s for s, i, _ in docs}
     for i, u in uses.items():
         assert len(u) == len(set(u)) <= cap[source[i]]
-    s = {r.source: r for r in shares(m, t).collect()}
+    s = {r.source: r for r in shares(m, t, d).collect()}
     for name, share in (("big", 5 / 9), ("mid", 3 / 9), ("small", 1 / 9)):
         assert abs(s[name].actual_share - share) < 0.02
     assert s["absent"].actual_share == 0 and s["small"].most_uses == 4
@@ -32,10 +34,24 @@ def test_shares_follow_targets_and_repeats_are_capped(spark):
 def test_budget_reports_what_ran_out(spark):
     docs, d, t = data(spark)
     m = mixture(d, t, block_tokens=256, total_tokens=200_000)
-    s = {r.source: r for r in shares(m, t).collect()}
+    s = {r.source: r for r in shares(m, t, d).collect()}
     small = sum(n for x, _, n in docs if x == "small")
     assert s["small"].tokens == 4 * small
     assert s["small"].actual_share < 0.11
+    assert s["small"].tokens_unused == 0 and s["small"].tokens_there == small and s["absent"].tokens_there == 0
+    seen = {r.doc_id for r in m.collect()}
+    assert s["big"].tokens_unused == sum(n for x, i, n in docs if x == "big" and n and i not in seen)
+
+
+def test_ten_thousand_sources(spark):
+    n = 10_000
+    d = spark.range(n * 2).selectExpr("concat('s', id % 10000) as source", "id as doc_id", "cast(60 as bigint) as n_tokens")
+    t = spark.range(n).selectExpr("concat('s', id) as source", "1 / 10000D as target_share", "3 as max_repeats")
+    m = mixture(d, t, block_tokens=64)
+    per = m.groupBy("source").agg({"slot": "count"}).collect()
+    assert len(per) == n
+    with pytest.raises(ValueError):
+        mixture(d, t.union(spark.createDataFrame([("one more", 0.1, 1)], t.schema)))
 
 
 def test_empty(spark):
