@@ -1,8 +1,8 @@
-"""Minute bars: standing bars, sessions, snapshots, resampling and entries."""
+"""Minute bars: standing bars, sessions, snapshots and resampling."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeglass.functions.timeline import MINUTE, floor_div, local_date, local_minute
@@ -39,22 +39,3 @@ def resample(bars: DataFrame, minutes: int, anchor: int = OPEN) -> DataFrame:
     """Bars of ``minutes`` anchored at a minute of the day; empty buckets have no row."""
     b = bars.where(F.col("mod") >= anchor).withColumn("bucket", floor_div((F.col("mod") - anchor).cast("bigint"), minutes) * minutes + anchor)
     return b.groupBy("sym", "day", "bucket").agg(F.min_by("o", "minute").alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "minute").alias("c"), F.sum("v").alias("v"))
-
-
-def entries(bars: DataFrame, offsets: list[int]) -> DataFrame:
-    """For each symbol, day and entry minute the fill: the first regular bar at or after it, at its open.
-
-    sym, day, entry, fill (minute of day), price, halted (the fill is a later minute).  No bar: no row.
-    """
-    b = bars.where(rth())
-    each = b.withColumn("entry", F.explode(F.array(*[F.lit(o) for o in offsets]))).where(F.col("mod") >= F.col("entry"))
-    e = each.groupBy("sym", "day", "entry").agg(F.min_by(F.struct("mod", "o"), "mod").alias("f"))
-    return e.select("sym", "day", "entry", F.col("f.mod").alias("fill"), F.col("f.o").alias("price"), (F.col("f.mod") > F.col("entry")).alias("halted")).where(F.col("price") > 0)
-
-
-def tape(bars: DataFrame, fills: DataFrame) -> DataFrame:
-    """The regular bars from each fill on, counted from 0: fills' columns with idx, mod, h, l, c, v."""
-    b = bars.where(rth()).select(F.col("sym").alias("_s"), F.col("day").alias("_d"), "mod", "h", "l", "c", "v")
-    j = fills.join(b, (F.col("sym") == F.col("_s")) & (F.col("day") == F.col("_d")) & (F.col("mod") >= F.col("fill")))
-    w = Window.partitionBy("sym", "day", "entry").orderBy("mod")
-    return j.drop("_s", "_d").withColumn("idx", (F.row_number().over(w) - 1).cast("bigint"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeglass.operators import history as H
 from tapeglass.operators import resampling, subgroup
 from tapeglass.plans.panel import _P, _W, panel
-from tapeglass.plans.tape import _CP, _E, _tape
+from tapeglass.plans.forward import _T, intraday_returns
 from tapeglass.session import cut
 from tapeglass.sources.tables import table
 
@@ -147,14 +147,15 @@ def vol_target_weights(spark, d):
     return k.select(F.date_format("day", "yyyy-MM-dd").alias("day"), _r("wt").alias("weight"), F.round(net, 8).alias("net_ret"))
 
 
-@query(_E + f", p as (select sym, day, entry, price, c, idx, mod, fill from tape), k as (select unnest({list(_CP)}) as cp), z as (select p.sym, p.day, p.entry, k.cp, arg_max(c, idx) / any_value(price) - 1 as r from p join k on p.mod <= p.fill + k.cp group by all), ee as (select sym, day, entry, arg_max(c, idx) / any_value(price) - 1 as eod from p group by all), x as (select z.*, ee.eod, min(r) over (partition by sym, day, entry order by cp rows between 1 following and unbounded following) as later from z join ee using (sym, day, entry)) select cp as checkpoint, case when r >= 0.005 then 'ahead' when r >= 0 then 'green' else 'red' end as state, count(*) as n, round(avg((eod > 0)::int), 9) as p_green, round(avg((later >= 0)::int), 9) as p_stays, round(avg(eod - r), 6) as remaining from x group by 1, 2")
+_CP = (1, 5, 10, 30, 60, 120)
+
+
+@query(_T + f", k as (select unnest({list(_CP)}) as cp), z as (select t.sym, t.day, t.entry, k.cp, round(arg_max(c, idx) / any_value(price) - 1, 9) as r from t join k on t.mod <= t.f.mod + k.cp where t.k = 0 group by all), ee as (select sym, day, entry, round(arg_max(c, idx) / any_value(price) - 1, 9) as eod from t where k = 0 group by all), x as (select z.*, ee.eod, min(r) over (partition by sym, day, entry order by cp rows between 1 following and unbounded following) as later from z join ee using (sym, day, entry)) select cp as checkpoint, case when r >= 0.005 then 'ahead' when r >= 0 then 'green' else 'red' end as state, count(*) as n, round(avg((eod > 0)::int), 9) as p_green, round(avg((later >= 0)::int), 9) as p_stays, round(avg(eod - r), 6) as remaining from x group by 1, 2")
 def survival_conditions(spark, d):
     """By checkpoint and state: chance of a green close, of never turning red later, and what return remains."""
-    t = _tape(spark, d)
-    z = t.withColumn("cp", F.explode(F.filter(F.array(*[F.lit(k) for k in _CP]), lambda k: F.col("mod") <= F.col("fill") + k))).groupBy("sym", "day", "entry", "cp").agg((F.max_by("c", "idx") / F.first("price") - 1).alias("r"))
-    e = t.groupBy("sym", "day", "entry").agg((F.max_by("c", "idx") / F.first("price") - 1).alias("eod"))
-    later = F.min("r").over(Window.partitionBy("sym", "day", "entry").orderBy("cp").rowsBetween(1, Window.unboundedFollowing))
-    x = z.join(e, ["sym", "day", "entry"]).withColumn("later", later)
+    t = intraday_returns(spark, d, _CP)
+    later = lambda j: F.least(*[F.col(f"r{i}") for i in range(j + 1, len(_CP))], F.lit(float("inf"))) if j + 1 < len(_CP) else F.lit(None).cast("double")
+    x = t.select("eod", F.inline(F.array(*[F.struct(F.lit(k).alias("cp"), F.col(f"r{j}").alias("r"), later(j).alias("later")) for j, k in enumerate(_CP)])))
     state = F.when(F.col("r") >= 0.005, "ahead").when(F.col("r") >= 0, "green").otherwise("red")
     return x.groupBy(F.col("cp").alias("checkpoint"), state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("eod") > 0).cast("int")), 9).alias("p_green"), F.round(F.avg((F.col("later") >= 0).cast("int")), 9).alias("p_stays"), _r(F.avg(F.col("eod") - F.col("r"))).alias("remaining"))
 
@@ -275,8 +276,6 @@ def stopping(trades: DataFrame, checkpoints: tuple[int, ...]) -> list[tuple]:
 @query()
 def exit_policy_dp(spark, d):
     """Optimal stopping on checkpoints by backward induction: stay or leave by return and drawdown, learned on every other day and valued on the rest."""
-    last = lambda x: F.max_by("c", x) / F.first("price") - 1
-    t = _tape(spark, d).groupBy("sym", "day", "entry").agg(last(F.col("idx")).alias("v"), *[last(F.when(F.col("mod") <= F.col("fill") + k, F.col("idx"))).alias(f"r{i}") for i, k in enumerate(_CP)])
-    t = cut(t.select("day", "v", *[f"r{i}" for i in range(len(_CP))]))
+    t = cut(intraday_returns(spark, d, _CP).select("day", F.col("eod").alias("v"), *[f"r{i}" for i in range(len(_CP))]))
     folds = t.select("day").distinct().withColumn("fold", F.row_number().over(Window.orderBy("day")) % 2)  # a row per trading day
     return spark.createDataFrame(stopping(cut(t.join(folds, "day")), _CP), "fold int, checkpoint int, state int, drawdown int, n bigint, stay double, leave double, exit boolean, held_n bigint, held_value double")

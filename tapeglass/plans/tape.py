@@ -29,7 +29,6 @@ b as (select sym, minute, cast(timezone('America/New_York', make_timestamptz(min
         cast(hour(timezone('America/New_York', make_timestamptz(minute * 60000000))) * 60 + minute(timezone('America/New_York', make_timestamptz(minute * 60000000))) as integer) as mod,
         r.o as o, r.h as h, r.l as l, r.c as c, r.v as v from m)
 """
-OFFSETS = [575, 600, 690, 810]
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
@@ -103,101 +102,3 @@ def max_bar_gap(spark, d):
     """Longest pause between regular bars, and the last regular minute as the session's close."""
     b = bars(spark, d).where(B.rth()).withColumn("g", F.col("mod") - F.lag("mod").over(Window.partitionBy("sym", "day").orderBy("mod")))
     return b.groupBy("sym", _day()).agg(F.max("g").alias("max_gap"), F.max("mod").alias("last_minute"), (F.max("mod") < 840).alias("half_day"))
-
-
-_E = _B + f", e as (select unnest({OFFSETS}) as entry), f as (select b.sym, b.day, e.entry, arg_min(struct_pack(m := b.mod, o := b.o), b.mod) as f from b join e on b.mod >= e.entry where b.mod between 570 and 959 group by all), fills as (select sym, day, entry, f.m as fill, f.o as price, f.m > entry as halted from f where f.o > 0), tape as (select f.*, b.mod, b.h, b.l, b.c, b.v, row_number() over (partition by f.sym, f.day, f.entry order by b.mod) - 1 as idx from fills f join b on b.sym = f.sym and b.day = f.day and b.mod >= f.fill and b.mod <= 959)"
-
-
-@query(_E + " select * from fills")
-def entry_resolution(spark, d):
-    return B.entries(bars(spark, d), OFFSETS).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
-
-
-def _tape(spark, d):
-    b = bars(spark, d)
-    return B.tape(b, B.entries(b, OFFSETS)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
-
-
-_H = {"10m": "mod <= fill + 10", "30m": "mod <= fill + 30", "60m": "mod <= fill + 60", "eod": "true"}
-
-
-@query(_E + ", x as (" + " union all ".join(f"select *, '{n}' as horizon from tape where {e}" for n, e in _H.items()) + ") select sym, day, entry, horizon, count(*) as bars, round(arg_max(c, idx) / any_value(price) - 1, 6) as ret, round(max(h) / any_value(price) - 1, 6) as runup, round(min(l) / any_value(price) - 1, 6) as drawdown, arg_max(idx, row(h, -idx)) as bars_to_high, arg_min(idx, row(l, idx)) as bars_to_low from x group by sym, day, entry, horizon")
-def horizon_stats(spark, d):
-    """Return, extremes and bars to them from each fill, by horizon, in one grouped pass over the tape."""
-    inside = F.filter(F.array(*[F.when(F.expr(e), F.lit(n)) for n, e in _H.items()]), lambda x: x.isNotNull())
-    x = _tape(spark, d).withColumn("horizon", F.explode(inside))
-    g = x.groupBy("sym", "day", "entry", "price", "horizon").agg(F.count(F.lit(1)).alias("bars"), F.max_by("c", "idx").alias("c"), F.max(F.struct("h", (-F.col("idx")).alias("n"))).alias("hi"), F.min(F.struct("l", "idx")).alias("lo"))
-    r = lambda c: F.round(c / F.col("price") - 1, 6)
-    return g.select("sym", "day", "entry", "horizon", "bars", r(F.col("c")).alias("ret"), r(F.col("hi.h")).alias("runup"), r(F.col("lo.l")).alias("drawdown"), (-F.col("hi.n")).alias("bars_to_high"), F.col("lo.idx").alias("bars_to_low"))
-
-
-@query(_E + " select sym, day, entry, " + ", ".join(f"coalesce(min(case when h / price - 1 >= {x} then idx end) + 1, 0) as up_{n}, coalesce(min(case when l / price - 1 <= -{x} then idx end) + 1, 0) as down_{n}" for x, n in ((0.005, "50bp"), (0.01, "100bp"), (0.02, "200bp"), (0.05, "500bp"))) + " from tape group by sym, day, entry")
-def first_crossing(spark, d):
-    """1-based bar of the first touch of each threshold until the close, 0 if never."""
-    cols = []
-    for x, n in ((0.005, "50bp"), (0.01, "100bp"), (0.02, "200bp"), (0.05, "500bp")):
-        up, down = F.min(F.when(F.col("h") / F.col("price") - 1 >= x, F.col("idx"))), F.min(F.when(F.col("l") / F.col("price") - 1 <= -x, F.col("idx")))
-        cols += [F.coalesce(up + 1, F.lit(0)).alias(f"up_{n}"), F.coalesce(down + 1, F.lit(0)).alias(f"down_{n}")]
-    return _tape(spark, d).groupBy("sym", "day", "entry").agg(*cols)
-
-
-_PAIRS = ((0.01, 0.005), (0.02, 0.01), (0.03, 0.02))
-
-
-@query(_E + ", x as (" + " union all ".join(f"select *, '{a}/{b}' as pair, h / price - 1 >= {a} as t, l / price - 1 <= -{b} as s from tape" for a, b in _PAIRS) + "), g as (select sym, day, entry, pair, min(case when t then idx end) as ti, min(case when s then idx end) as si from x group by sym, day, entry, pair) select sym, day, entry, pair, case when si is not null and (ti is null or si <= ti) then 'stop_first' when ti is not null then 'target_first' else 'neither' end as first_event, ti is not null and (si is null or ti < si) as hit from g")
-def target_before_stop(spark, d):
-    """Target or stop first, until the close; both in one bar count as the stop."""
-    pairs = F.array(*[F.struct(F.lit(f"{a}/{b}").alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _PAIRS])
-    x = _tape(spark, d).select("*", F.inline(pairs))
-    g = x.groupBy("sym", "day", "entry", "pair").agg(F.min(F.when(F.col("h") / F.col("price") - 1 >= F.col("a"), F.col("idx"))).alias("t"), F.min(F.when(F.col("l") / F.col("price") - 1 <= -F.col("b"), F.col("idx"))).alias("s"))
-    stop = F.col("s").isNotNull() & (F.col("t").isNull() | (F.col("s") <= F.col("t")))
-    return g.select("sym", "day", "entry", "pair", F.when(stop, "stop_first").when(F.col("t").isNotNull(), "target_first").otherwise("neither").alias("first_event"), (F.col("t").isNotNull() & ~stop).alias("hit"))
-
-
-@query(_E + ", k as (select *, c < price as u, idx - row_number() over (partition by sym, day, entry, c < price order by idx) as run from tape), r as (select sym, day, entry, u, run, count(*) as n, min(idx) as a from k group by all), s as (select sym, day, entry, max(case when u then n end) as longest, min(case when u then a end) as first_under from r group by all), t as (select t.*, s.longest, s.first_under from tape t join s using (sym, day, entry)) select sym, day, entry, round(avg((c < price)::int), 9) as under_share, round(avg((c > price)::int), 9) as profit_share, coalesce(any_value(longest), 0) as longest_under, coalesce(min(case when c >= price and idx > first_under then idx - first_under end), 0) as time_to_recover from t group by sym, day, entry")
-def time_underwater(spark, d):
-    """Share of bars below and above the entry, the longest run below it and the bars until the first recovery."""
-    t = _tape(spark, d)
-    w = Window.partitionBy("sym", "day", "entry")
-    u = F.col("c") < F.col("price")
-    t = t.withColumns({"u": u, "first_under": F.min(F.when(u, F.col("idx"))).over(w)})
-    t = t.withColumn("run", F.col("idx") - F.row_number().over(Window.partitionBy("sym", "day", "entry", "u").orderBy("idx")))
-    t = t.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sym", "day", "entry", "u", "run")))
-    back = F.min(F.when((F.col("c") >= F.col("price")) & (F.col("idx") > F.col("first_under")), F.col("idx") - F.col("first_under")))
-    return t.groupBy("sym", "day", "entry").agg(F.round(F.avg(F.col("u").cast("int")), 9).alias("under_share"), F.round(F.avg((F.col("c") > F.col("price")).cast("int")), 9).alias("profit_share"), F.coalesce(F.max(F.when(F.col("u"), F.col("n"))), F.lit(0)).alias("longest_under"), F.coalesce(back, F.lit(0)).alias("time_to_recover"))
-
-
-_CP = (1, 5, 10, 30, 60, 120)
-
-
-@query(_E + f", p as (select *, max(h) over w as hh, min(l) over w as ll, sum(v) over w as vv, sum(c * v) over w as qq, avg((c > price)::int) over w as up, bool_or(coalesce(g, 0) >= 5) over w as halt from (select *, mod - lag(mod) over (partition by sym, day, entry order by idx) as g from tape) window w as (partition by sym, day, entry order by idx)), k as (select unnest({list(_CP)}) as cp), z as (select p.*, k.cp, row_number() over (partition by sym, day, entry, cp order by idx desc) as rn from p join k on p.mod <= p.fill + k.cp) select sym, day, entry, cp as checkpoint, idx + 1 as bars, round(c / price - 1, 6) as ret, round(hh / price - 1, 6) as high_ret, round(ll / price - 1, 6) as low_ret, vv as volume, round(qq / vv, 6) as vwap, round(up, 9) as up_share, halt from z where rn = 1")
-def checkpoint_path_state(spark, d):
-    """State of each trade's path at fixed minutes after the fill, from running windows over the tape."""
-    w = Window.partitionBy("sym", "day", "entry").orderBy("idx")
-    t = _tape(spark, d).withColumn("g", F.col("mod") - F.lag("mod").over(w))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    p = t.withColumns({"hh": F.max("h").over(run), "ll": F.min("l").over(run), "vv": F.sum("v").over(run), "qq": F.sum(F.col("c") * F.col("v")).over(run), "up": F.avg((F.col("c") > F.col("price")).cast("int")).over(run), "halt": F.bool_or(F.coalesce(F.col("g"), F.lit(0)) >= 5).over(run)})
-    z = p.withColumn("checkpoint", F.explode(F.filter(F.array(*[F.lit(k) for k in _CP]), lambda k: F.col("mod") <= F.col("fill") + k)))
-    s = z.groupBy("sym", "day", "entry", "checkpoint").agg(F.max_by(F.struct("idx", "c", "price", "hh", "ll", "vv", "qq", "up", "halt"), "idx").alias("s"))
-    r = lambda c: F.round(F.col(f"s.{c}") / F.col("s.price") - 1, 6)
-    return s.select("sym", "day", "entry", "checkpoint", (F.col("s.idx") + 1).alias("bars"), r("c").alias("ret"), r("hh").alias("high_ret"), r("ll").alias("low_ret"), F.col("s.vv").alias("volume"), F.round(F.col("s.qq") / F.col("s.vv"), 6).alias("vwap"), F.round("s.up", 9).alias("up_share"), F.col("s.halt").alias("halt"))
-
-
-@query(_E + ", z as (select sym, day, entry, price, c, idx, mod, mod - fill as after from tape) select sym, day, entry, " + ", ".join(f"round(arg_max(c, idx) filter (after <= {k}) / any_value(price) - 1, 6) as m{k}" for k in (10, 30, 60)) + " from z group by sym, day, entry")
-def pivot_paths(spark, d):
-    """Long checkpoints pivoted to columns, with the values given."""
-    z = _tape(spark, d).withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in (10, 30, 60)]), lambda k: F.col("mod") <= F.col("fill") + k)))
-    s = z.groupBy("sym", "day", "entry", "price", "k").agg(F.max_by("c", "idx").alias("c"))
-    p = s.groupBy("sym", "day", "entry").pivot("k", [10, 30, 60]).agg(F.first(F.round(F.col("c") / F.col("price") - 1, 6)))
-    return p.select("sym", "day", "entry", *[F.col(str(k)).alias(f"m{k}") for k in (10, 30, 60)])
-
-
-@query(_E + ", q as (select f.sym, f.day, f.entry, f.price, arg_min(b.o, b.mod) as open, sum(b.v) as vol, sum(b.c * b.v) as dol, max(b.h) as hi, min(b.l) as lo from fills f join b on b.sym = f.sym and b.day = f.day and b.mod between 570 and f.fill - 1 group by all) select sym, day, entry, round(price / open - 1, 6) as ret_from_open, vol as volume_before, round(dol / vol, 6) as vwap_before, round(hi / open - 1, 6) as high_ret, round(price / hi - 1, 6) as ret_from_high, round(price / lo - 1, 6) as ret_from_low from q")
-def pre_entry(spark, d):
-    """What the session looked like before each fill."""
-    b = bars(spark, d)
-    x = b.where(B.rth()).select(F.col("sym").alias("_s"), F.col("day").alias("_d"), F.col("mod").alias("_m"), "o", "h", "l", "c", "v")
-    j = B.entries(b, OFFSETS).join(x, (F.col("sym") == F.col("_s")) & (F.col("day") == F.col("_d")) & (F.col("_m") < F.col("fill")))
-    g = j.groupBy("sym", _day(), "entry", "price").agg(F.min_by("o", "_m").alias("open"), F.sum("v").alias("volume_before"), F.sum(F.col("c") * F.col("v")).alias("dol"), F.max("h").alias("hi"), F.min("l").alias("lo"))
-    r = lambda a, z: F.round(F.col(a) / F.col(z) - 1, 6)
-    return g.select("sym", "day", "entry", r("price", "open").alias("ret_from_open"), "volume_before", F.round(F.col("dol") / F.col("volume_before"), 6).alias("vwap_before"), r("hi", "open").alias("high_ret"), r("price", "hi").alias("ret_from_high"), r("price", "lo").alias("ret_from_low"))
