@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeglass.llm.words import hashed
+from tapeglass.llm.words import hashed, mix
 from tapeglass.session import cut
 
 _BASE = 0x9E3779B97F4A7C15
@@ -31,6 +31,8 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_CHARS = 20_000_000
 #: copies of the item windows when they are not broadcast, so that a window a great many documents have meets several tasks
 SALT = 16
+#: a window's bits in the bitmap come from its hash shifted by these
+_SHIFTS = (0, 12, 24, 36)
 
 
 def powers(n: int) -> np.ndarray:
@@ -127,18 +129,19 @@ def windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     for b in batches:
         ids, at = hashed(b.column(1).to_pylist())
         own = [ids[x : y - 1] for x, y in zip(at, [*at[1:], len(ids)], strict=True)]
-        hashes = [np.unique(rolling(x, least)).view(np.int64) for x in own]
+        hashes = [np.unique(mix(rolling(x, least))).view(np.int64) for x in own]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))], names=["_item", "_words", "_windows"])
 
 
 def bitmap(hashes: DataFrame, most_bits: int) -> np.ndarray:
-    """Bits of the hashes in column ``h``, 16 or more for each as far as ``most_bits`` allow: 32,768 bits a row come to the driver."""
+    """Bits of the hashes in column ``h``, four each and 64 or more for each as far as ``most_bits`` allow: 32,768 bits a row come to the driver."""
     n = hashes.count()
     bits = 1 << 15
-    while bits < min(16 * n, most_bits):
+    while bits < min(64 * n, most_bits):
         bits *= 2
-    at = F.pmod("h", F.lit(bits)) + 1  # bitmap positions count from 1
-    rows = hashes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    at = F.explode(F.array(*[F.pmod(F.shiftrightunsigned("h", s), F.lit(bits)) + 1 for s in _SHIFTS]))  # bitmap positions count from 1
+    places = hashes.select(at.alias("at"))
+    rows = places.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = np.zeros(bits // 8, dtype=np.uint8)
     for r in rows:
         out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
@@ -147,26 +150,39 @@ def bitmap(hashes: DataFrame, most_bits: int) -> np.ndarray:
 
 def suspicious(ids: np.ndarray, at: list[int], bits: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(text number, words of its suspicious passages with zeros between, their different windows) of each text that has some."""
-    h = rolling(ids, least)
-    if not len(h):
+    h = mix(rolling(ids, least))
+    hits = np.arange(len(h))
+    for s in _SHIFTS:
+        slot = (h[hits] >> np.uint64(s)) & np.uint64(len(bits) * 8 - 1)
+        hits = hits[(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+    if not len(hits):
         return
-    slot = h & np.uint64(len(bits) * 8 - 1)
-    let = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
     # a window may not reach over the end of a text
-    hits = np.flatnonzero(let)
-    hits = hits[_whole(ids == 0, least)[hits]] if len(hits) else hits
+    hits = hits[_whole(ids == 0, least)[hits]]
     if not len(hits):
         return
     text = np.searchsorted(np.array(at), hits, "right") - 1
     for t in np.unique(text):
         mine = hits[text == t]
-        first = mine[np.r_[True, np.diff(mine) > least]]
+        apart = np.flatnonzero(np.diff(mine) > least)
         parts = []
-        for a, z in zip(first, np.r_[mine[np.flatnonzero(np.diff(mine) > least)], mine[-1:]], strict=True):
+        for a, z in zip(mine[np.r_[0, apart + 1]], mine[np.r_[apart, len(mine) - 1]], strict=True):
             parts += [ids[a : z + least], np.zeros(1, dtype=ids.dtype)]
         yield int(t), np.concatenate(parts), np.unique(h[mine])
 
 
+def portions(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Texts in a row of some 150,000 characters together, with the number of the first: their arrays stay in the processor's cache."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size > 150_000:
+            yield first, texts[first : k + 1]
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 13, most_bits: int = 1 << 28, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every document and item that share ``least`` or more words in a row: doc_id, item_id, tiles, longest, covered, item_words, coverage.
 
@@ -190,7 +206,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for b in batches:
-            names, rows = b.column(0), list(suspicious(*hashed(b.column(1).to_pylist()), bits, least))
+            names, rows = b.column(0), []
+            for first, texts in portions(b.column(1).to_pylist()):
+                rows += [(first + t, *found) for t, *found in suspicious(*hashed(texts), bits, least)]
             if rows:
                 t, passages, h = zip(*rows, strict=True)
                 as_list = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))

@@ -66,24 +66,33 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
 
     A word's number depends on its bytes alone.
     """
-    # a byte that UTF-8 doesn't have stands after each text, apart from the words
-    parts = [plain(t) for t in texts]
-    raw = np.frombuffer(b"".join([p + b" \xff " for p in parts]), dtype=np.uint8)
-    if not len(raw):
+    if not texts:
         return np.zeros(0, dtype=np.uint64), []
-    inside = (raw > 32).view(np.int8)
-    edge = np.flatnonzero(np.diff(inside, prepend=0, append=0))
+    # a byte that UTF-8 doesn't have stands after each text, apart from the words
+    h = _numbers([plain(t) for t in texts])
+    return h, np.r_[0, np.flatnonzero(h == 0)[:-1] + 1].tolist()
+
+
+def _numbers(parts: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b" \xff ".join([*parts, b""]), dtype=np.uint8)
+    inside = np.concatenate([np.zeros(1, dtype=np.int8), (raw > 32).view(np.int8), np.zeros(1, dtype=np.int8)])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edge[::2], edge[1::2]
     up, down = _tables(len(raw))[:, : len(raw)]
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(raw * up)])
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(raw * up, out=total[1:])
     h = (total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)
-    # mixed, so that every bit depends on every byte
+    mix(h)
+    h |= np.uint64(1)
+    h[raw[begin] == 255] = 0
+    return h
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread in place, so that every bit depends on every bit."""
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x9FB21C651E98DF25)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    h |= np.uint64(1)
-    last = raw[begin] == 255
-    h[last] = 0
-    return h, np.r_[0, np.flatnonzero(last)[:-1] + 1].tolist()
+    return h
