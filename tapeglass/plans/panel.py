@@ -382,15 +382,6 @@ def next_period_decomposition(spark, d):
     return z.select(*_day(), q(F.col("n.o"), F.col("c")).alias("next_gap"), q(F.col("n.c"), F.col("n.o")).alias("next_rth"), q(F.col("n.c"), F.col("c")).alias("next_close_to_close"), _r(loc).alias("close_location"))
 
 
-@query(_P + f", x as (select *, case when dayofmonth(day) = 15 then 0.01 * c else 0 end as cash from p), y as (select *, sum(cash) over (partition by security_id order by day rows between 1 following and 21 following) as cash_21, lead(c, 21) over (partition by security_id order by day) as e from x where c > 0) select {_D}, round(e / c - 1, 6) as ret_21, round(case when e is not null then (e + cash_21) / c - 1 end, 6) as total_ret_21, case when e is not null then cash_21 > 0 end as cash_within from y")
-def total_return_with_cash(spark, d):
-    """Return over 21 traded days with and without the cash paid in them (a literal rule pays on the 15th)."""
-    p = panel(spark, d).where(F.col("c") > 0).withColumn("cash", F.when(F.dayofmonth("day") == 15, 0.01 * F.col("c")).otherwise(0.0))
-    w = H.by_security()
-    p = p.withColumns({"e": F.lead("c", 21).over(w), "k": F.sum("cash").over(w.rowsBetween(1, 21))})
-    return p.select(*_day(), _r(F.col("e") / F.col("c") - 1).alias("ret_21"), _r(F.when(F.col("e").isNotNull(), (F.col("e") + F.col("k")) / F.col("c") - 1)).alias("total_ret_21"), F.when(F.col("e").isNotNull(), F.col("k") > 0).alias("cash_within"))
-
-
 @query(_P + ", t as (select security_id, max(cast(delisted_utc as date)) as dl from tickers where security_id is not null and delisted_utc is not null group by 1), l as (select security_id, max(day) as last_day, arg_max(c, day) as last_close, count(*) as sessions from p group by 1), cal as (select distinct day from p) select l.security_id, strftime(t.dl, '%Y-%m-%d') as delisted, strftime(l.last_day, '%Y-%m-%d') as last_day, l.last_close, case when t.dl is null then 'none' when l.last_day > t.dl then 'traded_after' else 'delisting' end as terminal_event, (select count(*) from cal where cal.day > l.last_day) as missing_days from l left join t using (security_id)")
 def terminal_events(spark, d):
     """Delistings that the tape confirms: no session after them; and the market days missed since the last session."""
