@@ -205,17 +205,6 @@ def concentration_percentile(spark, d):
 _TYPES = "t as (select security_id, max(ticker_type) as sector from tickers where security_id is not null group by security_id)"
 
 
-@query(_P + f", {_TYPES}, a as (select day, coalesce(sector, 'Unknown') as sector, count(*) as n, avg(ret) as m, avg((ret > 0)::int) as g from p left join t using (security_id) group by 1, 2) select strftime(day, '%Y-%m-%d') as day, sector, n, round(m, 6) as mean_ret, round(g, 9) as green_share, case when m is not null then row_number() over (partition by day order by round(m, 9) desc nulls last, sector) end as sector_rank from a")
-def sector_aggregate(spark, d):
-    """Equal-weight return and breadth by group of securities (listing type), groups ranked each day."""
-    from tapeglass.sources.tables import table
-
-    t = table(spark, d, "tickers").where(F.col("security_id").isNotNull()).groupBy("security_id").agg(F.max("ticker_type").alias("sector"))
-    a = panel(spark, d).join(t, "security_id", "left").groupBy("day", F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("m"), F.avg((F.col("ret") > 0).cast("int")).alias("g"))
-    rk = F.row_number().over(Window.partitionBy("day").orderBy(F.round("m", 9).desc_nulls_last(), "sector")).cast("bigint")
-    return a.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "sector", "n", _r("m").alias("mean_ret"), F.round("g", 9).alias("green_share"), F.when(F.col("m").isNotNull(), rk).alias("sector_rank"))
-
-
 # cohorts and statistics ----------------------------------------------------------------------------
 
 
@@ -322,17 +311,6 @@ def transition_matrix(spark, d):
     return n.select("state", "next_state", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("state")), 9).alias("share"))
 
 
-@query(_P + ", m as (select day, stddev_pop(ret) as x from p group by day having count(ret) >= 2), b as (select quantile_cont(x, 1 / 3.0) as lo, quantile_cont(x, 2 / 3.0) as hi from m) select strftime(day, '%Y-%m-%d') as day, 'dispersion' as taxonomy, case when x <= lo then 'low' when x <= hi then 'mid' else 'high' end as bucket from m, b union all select strftime(day, '%Y-%m-%d'), 'era', case when day <= date '2023-06-30' then 'first' when day <= date '2024-03-31' then 'second' else 'third' end from m")
-def regime_tertiles_long(spark, d):
-    """Tertile regimes of cross-sectional dispersion and a calendar of eras, in long form."""
-    m = panel(spark, d).groupBy("day").agg(F.stddev_pop("ret").alias("x"), F.count("ret").alias("n")).where(F.col("n") >= 2)
-    b = m.agg(F.percentile("x", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    era = F.when(F.col("day") <= F.lit("2023-06-30").cast("date"), "first").when(F.col("day") <= F.lit("2024-03-31").cast("date"), "second").otherwise("third")
-    bucket = F.when(F.col("x") <= F.col("q")[0], "low").when(F.col("x") <= F.col("q")[1], "mid").otherwise("high")
-    long = F.array(F.struct(F.lit("dispersion").alias("taxonomy"), bucket.alias("bucket")), F.struct(F.lit("era").alias("taxonomy"), era.alias("bucket")))
-    return m.crossJoin(F.broadcast(b)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.inline(long))  # one row of bounds
-
-
 @query(_P + ", f as (select *, " + ", ".join(f"max(h) over (partition by security_id order by day rows between 1 following and {k} following) as mh{k}, min(l) over (partition by security_id order by day rows between 1 following and {k} following) as ml{k}, lead(c, {k}) over (partition by security_id order by day) as e{k}" for k in (10, 21, 63)) + f" from p where c > 0) select {_D}, " + ", ".join(f"round(e{k} / c - 1, 6) as ret_{k}d, round(case when e{k} is not null then mh{k} / c - 1 end, 6) as runup_{k}d, round(case when e{k} is not null then ml{k} / c - 1 end, 6) as drawdown_{k}d" for k in (10, 21, 63)) + " from f")
 def long_horizon_daily(spark, d):
     """Return, run-up and drawdown over the next 10, 21 and 63 traded days, null if the security has fewer."""

@@ -51,20 +51,6 @@ def resolve_interval_ambiguous(spark, d):
     return identity.resolve(r, _windows(spark, d), "symbol_", "day").select(F.col("symbol_").alias("symbol"), _iso("day"), "resolved_id")
 
 
-_SPL = "sp as (select o_custkey as key, cast(o_orderdate as date) as d, 1.0 as f, case when o_orderpriority like '1%' then 2.0 else 4.0 end as t from orders where o_orderpriority like '1%' or o_orderpriority like '2%')"
-
-
-@query(f"with {_SPL} select o_orderkey, round(coalesce((select product(f / t) from sp where sp.key = o.o_custkey and sp.d > cast(o.o_orderdate as date) and sp.d <= date '2001-01-01'), 1.0), 9) as factor from orders o")
-def cumulative_factor_product(spark, d):
-    """Split factor of each row's day from step functions per key (splits by a literal rule on the orders)."""
-    o = table(spark, d, "orders")
-    day = F.to_date("o_orderdate")
-    sp = o.where(F.col("o_orderpriority").rlike("^[12]")).select(F.col("o_custkey").alias("key"), day.alias("execution_date"), F.lit(1.0).alias("split_from"), F.when(F.col("o_orderpriority").startswith("1"), 2.0).otherwise(4.0).alias("split_to"))
-    f = identity.step_factors(sp, "2001-01-01")
-    cond = (F.col("o_custkey") == F.col("key")) & (F.col("from_day").isNull() | (day >= F.col("from_day"))) & (day < F.col("until_day"))
-    return o.join(f, cond, "left").select("o_orderkey", F.round(F.coalesce("factor", F.lit(1.0)), 9).alias("factor"))
-
-
 @query(f"select security_id, strftime(day, '%Y-%m-%d') as day, count(distinct {_SYMBOL.format('display_symbol')}) as symbols from day_session where security_id is not null group by security_id, day having count(distinct {_SYMBOL.format('display_symbol')}) > 1")
 def identity_collisions(spark, d):
     s = table(spark, d, "day_session").select("security_id", "day", valid_symbol(F.col("display_symbol")).alias("symbol"))
@@ -154,26 +140,6 @@ def earnings_first_and_revisions(spark, d):
     return k.select("security_id", "period", F.date_format(F.coalesce(local_date(F.col("t")), "filing_date"), "yyyy-MM-dd").alias("report_date"), "revisions", timing.alias("timing"))
 
 
-#: fixed values: industry code ranges, the narrower before the wider
-SIC = [(2830, 2836, "biotech"), (3570, 3579, "hardware"), (3670, 3679, "semiconductor"), (6770, 6770, "blank_check"), (6798, 6798, "reit"), (100, 999, "agriculture"), (1000, 1499, "mining"), (1500, 1799, "construction"), (2000, 3999, "manufacturing"), (4000, 4999, "utilities_transport"), (5000, 5999, "trade"), (6000, 6999, "finance"), (7000, 8999, "services")]
-
-
-@query("select distinct filing_id, sic_from_filing, case " + " ".join(f"when try_cast(trim(sic_from_filing) as integer) between {a} and {z} then '{n}'" for a, z, n in SIC) + " end as sector from financials")
-def sic_range_map(spark, d):
-    code, sector = F.trim("sic_from_filing").try_cast("int"), None
-    for a, z, n in SIC:
-        sector = F.when(code.between(a, z), n) if sector is None else sector.when(code.between(a, z), n)
-    return table(spark, d, "financials").select("filing_id", "sic_from_filing", sector.alias("sector")).distinct()
-
-
-@query("select distinct security_id, coalesce(upper(ticker_type) in ('ETF', 'ETV', 'ETS', 'FUND'), false) as is_etf, coalesce(upper(ticker_type) like 'ADR%', false) as is_adr, coalesce(upper(ticker_type) = 'CS' and lower(locale) = 'us', false) as us_common, coalesce(delisted_utc is not null, false) as delisted from tickers where security_id is not null")
-def behavioral_tags(spark, d):
-    """Structure tags; a missing input gives false."""
-    kind = F.upper("ticker_type")
-    no = lambda c: F.coalesce(c, F.lit(False))
-    return table(spark, d, "tickers").where(F.col("security_id").isNotNull()).select("security_id", no(kind.isin("ETF", "ETV", "ETS", "FUND")).alias("is_etf"), no(kind.startswith("ADR")).alias("is_adr"), no((kind == "CS") & (F.lower("locale") == "us")).alias("us_common"), no(F.col("delisted_utc").isNotNull()).alias("delisted")).distinct()
-
-
 @query("select distinct filing_id, try_cast(json_extract_string(financials_json, '$.rev') as double) as revenue, split_part(source_filing_url, '/', -1) as accession, replace(replace(replace(ticker, '.', ''), '-', ''), '/', '') as plain_ticker, regexp_extract(source_filing_url, '([0-9]+)-([0-9]{2})-([0-9]+)$', 2) as filed_year from financials")
 def json_url_text_picks(spark, d):
     """A JSON path, the last segment of a URL, a normalised symbol and a regex group."""

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 
 #: queries whose SQL is compared here; the others run in the project's parity check
-SOME = ["p1_found", "p2_found", "p3_found", "p4_found", "p6_found", "p6_trailing", "p7_percentiles", "trailing_atr", "signal_first_in_n", "rank_desc_bijective", "horizon_stats", "target_before_stop", "checkpoint_path_state", "validity_windows", "asof_backward", "latest_within_lag", "cumulative_factor_product"]
+SOME = ["p1_found", "p2_found", "p3_found", "p4_found", "p6_found", "p6_trailing", "p7_percentiles", "trailing_atr", "signal_first_in_n", "rank_desc_bijective", "horizon_stats", "target_before_stop", "checkpoint_path_state", "validity_windows", "asof_backward", "latest_within_lag", "split_adjustment"]
 
 
 def rows(table):
