@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeglass.session import cut
+
 
 def finite(value: Column) -> Column:
     """The value, or null if it is NaN or infinite."""
@@ -47,3 +49,29 @@ def top_share(df: DataFrame, group: list[str], value: str, share: float, order:
     g = Window.partitionBy(*group)
     w = g.orderBy(F.col(value).desc_nulls_last(), *order)
     return df.where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w), "_n": F.count(F.lit(1)).over(g)}).where(F.col("_r") <= F.greatest(F.lit(1), F.round(F.col("_n") * share))).drop("_r", "_n")
+
+
+def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with its rank 1..n over all rows by the total order ``order``, without one task for all rows.
+
+    Rows are parted by ranges of the order, numbered inside their range, and moved up by the number of
+    rows in the ranges before: a number per range is all that comes together.
+    """
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    keyed = df.withColumns({f"_o{j}": c for j, c in enumerate(cols)})
+    keys = [f"_o{j}" for j in range(len(cols))]
+    parted = cut(keyed.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    per = parted.groupBy("_part").count()
+    before = per.select(F.col("_part").alias("_q"), F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return parted.join(F.broadcast(before), F.col("_part") == F.col("_q")).withColumn(name, (F.col("_before") + own).cast("bigint")).drop(*keys, "_part", "_q", "_before")
+
+
+def global_ntile(df: DataFrame, order: list, n: int, name: str) -> DataFrame:
+    """``df`` with its bucket 1..n over all rows by the total order, the first buckets one larger where the rows don't divide."""
+    r = global_rank(df, order, "_rank")
+    m = F.broadcast(r.agg(F.count(F.lit(1)).alias("_m")))  # one row
+    size, rest = F.floor(F.col("_m") / n), F.col("_m") % n
+    edge = rest * (size + 1)
+    bucket = F.when(F.col("_rank") <= edge, F.ceil(F.col("_rank") / (size + 1))).otherwise(rest + F.ceil((F.col("_rank") - edge) / F.greatest(size, F.lit(1))))
+    return r.crossJoin(m).withColumn(name, bucket.cast("bigint")).drop("_rank", "_m")

@@ -5,9 +5,12 @@ Spark collapses the data to one number per cell and day first; what reaches Pyth
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def _blocks(n: int, length: int, draws: int, seed: int) -> np.ndarray:
@@ -52,3 +55,13 @@ def paired_sharpe(series: DataFrame, cell: str, day: str, a: str, b: str, length
 
     s = series.selectExpr(f"cast({cell} as string) as cell", f"cast({day} as string) as d", f"cast({a} as double) as a", f"cast({b} as double) as b")
     return s.groupBy("cell").applyInPandas(one, "cell string, days bigint, difference double, lower double, upper double")
+
+
+def normal_tail(x: Column) -> Column:
+    """P(Z > x) of a standard normal variable, exact to the last digits."""
+
+    @F.pandas_udf("double")
+    def tail(v: pd.Series) -> pd.Series:
+        return v.map(lambda z: None if z is None or math.isnan(z) else 0.5 * math.erfc(z / math.sqrt(2)))
+
+    return tail(x)

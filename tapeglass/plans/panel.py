@@ -233,18 +233,6 @@ def factor_scan(spark, d):
     return x.groupBy("signal", "horizon").agg(F.count("r").alias("n"), _r(F.avg("r")).alias("mean_ret"), F.round(F.avg((F.col("r") > 0).cast("int")), 9).alias("hit_rate"), F.round(F.avg("r") / F.stddev_samp("r") * F.sqrt(F.count("r")), 5).alias("t_stat"))
 
 
-@query(_P + ", g as (select security_id, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(count(ret)), 9) as t from p group by security_id having count(ret) >= 20), k as (select *, abs(t) as a, row_number() over (order by round(abs(t), 6) desc, security_id) as r, count(*) over () as m from g where t is not null), h as (select sum(1.0 / r) as hm from k), z as (select k.*, exp(-0.717 * a - 0.416 * a * a) as p from k), b as (select z.*, p <= r * 0.1 / (m * hm) as below from z, h) select security_id, round(t, 6) as t, r as rank, r <= coalesce((select max(r) from b where below), 0) as rejected from b")
-def by_fdr(spark, d):
-    """Benjamini-Yekutieli step-up at 10 % over one test per security, with a closed-form normal tail."""
-    g = panel(spark, d).groupBy("security_id").agg(F.count("ret").alias("n"), F.round(F.avg("ret") / F.when(F.stddev_samp("ret") != 0, F.stddev_samp("ret")) * F.sqrt(F.count("ret")), 9).alias("t")).where((F.col("n") >= 20) & F.col("t").isNotNull())
-    every = Window.partitionBy()  # one row per test
-    k = g.withColumns({"a": F.abs("t"), "r": F.row_number().over(Window.orderBy(F.round(F.abs("t"), 6).desc(), "security_id")).cast("bigint"), "m": F.count(F.lit(1)).over(every)})
-    k = k.withColumn("hm", F.sum(1.0 / F.col("r")).over(every))
-    below = F.exp(-0.717 * F.col("a") - 0.416 * F.col("a") * F.col("a")) <= F.col("r") * 0.1 / (F.col("m") * F.col("hm"))
-    k = k.withColumn("last", F.max(F.when(below, F.col("r"))).over(every))
-    return k.select("security_id", F.round("t", 6).alias("t"), F.col("r").alias("rank"), (F.col("r") <= F.coalesce("last", F.lit(0))).alias("rejected"))
-
-
 @query(_P + f", {_TYPES}, x as (select coalesce(sector, 'Unknown') as sector, year(day) as yr, ret, security_id, day from p left join t using (security_id) where ret is not null) select sector, yr, count(distinct day) as days, count(distinct security_id) as names, round(1.96 / sqrt(count(distinct day) / 252.0), 6) as detectable_sharpe from x group by grouping sets ((sector, yr), (sector), (yr), ())")
 def mde_ladder_grouping_sets(spark, d):
     """Detectable Sharpe ratio at each granularity, by grouping sets."""
@@ -296,8 +284,12 @@ def mutual_information_corrected(spark, d):
 @query(_P + ", f as (select *, lead(ret) over (partition by security_id order by day) > 0 as y from p where ret is not null), k as (select year(day) as yr, y, row_number() over (partition by year(day) order by ret, security_id, day) as r from f where y is not null) select yr, count(*) as n, round((sum(case when y then r end) - count_if(y) * (count_if(y) + 1) / 2) / (count_if(y) * count_if(not y)), 6) as auc from k group by yr having count_if(y) > 0 and count_if(not y) > 0")
 def auc_rank(spark, d):
     """Area under the curve of today's return as a score for a rise tomorrow, by year, from the rank sum."""
-    f = panel(spark, d).where(F.col("ret").isNotNull()).withColumn("y", F.lead("ret").over(H.by_security()) > 0).where(F.col("y").isNotNull()).withColumn("yr", F.year("day").cast("bigint"))
-    k = f.withColumn("r", F.row_number().over(Window.partitionBy("yr").orderBy("ret", "security_id", "day")))
+    f = panel(spark, d).where(F.col("ret").isNotNull()).withColumn("y", F.lead("ret").over(H.by_security()) > 0).where(F.col("y").isNotNull()).select(F.year("day").cast("bigint").alias("yr"), "ret", "security_id", "day", "y")
+    # ranks over all years at once; a year's own begin after the rows of the years before
+    k = R.global_rank(f, ["yr", "ret", "security_id", "day"], "all")
+    w = Window.orderBy("yr").rowsBetween(Window.unboundedPreceding, -1)  # a row per year
+    years = F.broadcast(k.groupBy("yr").count().select(F.col("yr").alias("_y"), F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_before")))
+    k = k.join(years, F.col("yr") == F.col("_y")).withColumn("r", F.col("all") - F.col("_before"))
     pos, neg = F.count_if("y"), F.count_if(~F.col("y"))
     g = k.groupBy("yr").agg(F.count(F.lit(1)).alias("n"), pos.alias("a"), neg.alias("b"), F.sum(F.when(F.col("y"), F.col("r"))).alias("s")).where((F.col("a") > 0) & (F.col("b") > 0))
     return g.select("yr", "n", _r((F.col("s") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * F.col("b"))).alias("auc"))

@@ -95,19 +95,20 @@ def trailing_30d_range_join(spark, d):
     return s.join(n, ["security_id", "day"], "left").select("security_id", _iso("day"), F.coalesce("n", F.lit(0)).alias("filings_30d"))
 
 
-@query("with o as (select o_orderkey, o_custkey, cast(o_orderdate as date) as d, o_orderpriority as p from orders) select distinct a.o_orderkey from o a join o b on b.o_custkey = a.o_custkey and a.d - b.d between 0 and 30 and b.p <> a.p")
+@query("with f as (select distinct filing_id, security_id, filing_date, coalesce(timeframe, '') as k from financials where security_id is not null) select distinct a.filing_id from f a join f b on b.security_id = a.security_id and a.filing_date - b.filing_date between 0 and 30 and b.k <> a.k")
 def cluster_self_join(spark, d):
-    """Orders with another of the customer's orders, of another priority, in the 30 days up to them."""
-    day = F.unix_date(F.to_date("o_orderdate"))
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", day.alias("d"), F.col("o_orderpriority").alias("p"))
-    w = Window.partitionBy("o_custkey").orderBy("d").rangeBetween(-30, 0)
-    return o.withColumn("kinds", F.size(F.collect_set("p").over(w))).where(F.col("kinds") > 1).select("o_orderkey")  # five priorities
+    """Filings with another of the security's filings, of another timeframe, in the 30 days up to them."""
+    f = table(spark, d, "financials").where(F.col("security_id").isNotNull()).select("filing_id", "security_id", F.unix_date("filing_date").alias("t"), F.coalesce("timeframe", F.lit("")).alias("k")).distinct()
+    w = Window.partitionBy("security_id").orderBy("t").rangeBetween(-30, 0)
+    return f.withColumn("kinds", F.size(F.collect_set("k").over(w))).where(F.col("kinds") > 1).select("filing_id").distinct()  # a handful of timeframes
 
 
-@query("select distinct security_id from tickers where security_id is not null and security_id not in (select security_id from financials where security_id is not null)")
+@query(f"select distinct {_SYMBOL.format('display_symbol')} as symbol, strftime(day, '%Y-%m-%d') as day from day_session s where not exists (select 1 from bars_1m_raw b where b.display_symbol = {_SYMBOL.format('s.display_symbol')} and cast(timezone('America/New_York', b.t) as date) = s.day)")
 def anti_join(spark, d):
-    t, f = table(spark, d, "tickers"), table(spark, d, "financials")
-    return t.where(F.col("security_id").isNotNull()).select("security_id").distinct().join(f.where(F.col("security_id").isNotNull()), "security_id", "left_anti")
+    """Sessions of which there are no minute bars."""
+    s = table(spark, d, "day_session").select(valid_symbol(F.col("display_symbol")).alias("symbol"), "day").distinct()
+    b = table(spark, d, "bars_1m_raw").select(F.col("display_symbol").alias("symbol"), local_date(F.col("t")).alias("day")).distinct()
+    return s.join(b, ["symbol", "day"], "left_anti").select("symbol", _iso("day"))
 
 
 @query("with a as (select security_id, count(*) as filings from financials where security_id is not null group by 1), b as (select security_id, count(*) as settlements from short_interest where security_id is not null group by 1) select coalesce(a.security_id, b.security_id) as security_id, filings, settlements from a full join b on a.security_id = b.security_id")
@@ -167,9 +168,3 @@ def sue_clip(spark, d):
     z = z.withColumns({"n": F.count("diff").over(q), "sd": sd})
     clipped = F.greatest(F.lit(-6.0), F.least(F.lit(6.0), F.col("diff") / F.col("sd")))
     return z.select("security_id", _iso("end_date"), F.round("diff", 6).alias("diff"), F.round(F.when((F.col("n") >= 4) & (F.col("sd") > 0), clipped), 6).alias("sue"))
-
-
-@query("select l_suppkey, l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) as median_price, quantile_disc(l_extendedprice, 0.75) as p75_price, round(avg(least(0.05, l_tax) + greatest(0.01, l_discount)), 9) as capped_cost, count(*) as n from lineitem group by all")
-def cost_model_cells(spark, d):
-    """Medians, quartiles and a capped cost per cell."""
-    return table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.round(F.median("l_extendedprice"), 4).alias("median_price"), F.percentile_disc("l_extendedprice", 0.75).alias("p75_price") if hasattr(F, "percentile_disc") else F.expr("percentile_disc(0.75) within group (order by l_extendedprice)").alias("p75_price"), F.round(F.avg(F.least(F.lit(0.05), F.col("l_tax")) + F.greatest(F.lit(0.01), F.col("l_discount"))), 9).alias("capped_cost"), F.count(F.lit(1)).alias("n"))

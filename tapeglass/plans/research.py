@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeglass.operators import history as H
+from tapeglass.operators import ranking as R
 from tapeglass.operators import resampling, subgroup
 from tapeglass.plans.panel import _P, _W, panel
 from tapeglass.plans.forward import _T, intraday_returns
@@ -108,7 +109,7 @@ def post_event_drift(spark, d):
     p = panel(spark, d)
     q = p.select(F.col("security_id").alias("s2"), F.col("day").alias("d2"), "ret", (F.when(F.col("c") != 0, F.lead("c", 5).over(H.by_security()) / F.col("c")) - 1).alias("drift"))
     j = asof_forward(e, p, "security_id", "filing_date", "day", "first_day", strict=True).join(q, (F.col("security_id") == F.col("s2")) & (F.col("first_day") == F.col("d2"))).where(F.col("ret").isNotNull() & F.col("drift").isNotNull())
-    k = j.withColumn("bucket", F.ntile(5).over(Window.orderBy("ret", "security_id", "filing_date")).cast("bigint"))  # one row per filing
+    k = R.global_ntile(j.select("ret", "drift", "security_id", "filing_date"), ["ret", "security_id", "filing_date"], 5, "bucket")
     return k.groupBy("bucket").agg(F.count(F.lit(1)).alias("events"), _r(F.avg("ret")).alias("reaction"), _r(F.avg("drift")).alias("drift"))
 
 
