@@ -83,22 +83,24 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     hashes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def shared(n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of windows of length n that both sides have free."""
+        """Places of the document's free windows of length n that the item has free as well, and of the item's free windows."""
         if n not in hashes:
             hashes[n] = rolling(doc, n), rolling(item, n)
         hd, hi = hashes[n]
         d, i = np.flatnonzero(_whole(d_used, n)), np.flatnonzero(_whole(i_used, n))
-        both = np.intersect1d(hd[d], hi[i])
-        return d[np.isin(hd[d], both)], i[np.isin(hi[i], both)]
+        if not len(i):
+            return d[:0], i
+        known = np.sort(hi[i])
+        at = np.searchsorted(known, hd[d])
+        at[at == len(known)] = 0
+        return d[known[at] == hd[d]], i
 
     most = min(len(doc), len(item))
-    while most >= least:
-        low, high = least - 1, most
+    while most >= least and len(shared(least)[0]):
+        low, high = least, most
         while low < high:
             n = (low + high + 1) // 2
             low, high = (n, high) if len(shared(n)[0]) else (low, n - 1)
-        if low < least:
-            break
         n = low
         d_at, i_at = shared(n)
         hd, hi = hashes[n]
@@ -228,6 +230,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     if few and (told.agg(F.sum(F.size("_words"))).first()[0] or 0) <= BROADCAST_CHARS // 8:
         words = F.broadcast(words)
     both = found.select("_doc", "_row", "_passages").join(pairs, "_doc").join(words, "_no").select("_row", "_item", "_passages", "_words")
+    # few bytes and much work: kept apart, so that tasks aren't put together by size
+    both = both.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "_row", "_item")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
