@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeglass.functions.timeline import MINUTE, floor_div, local_date, local_minute, midnight_micros, valid_symbol
@@ -292,6 +292,41 @@ def _p6_trailing_sql() -> str:
     return f"with {_STANDING} select security_id, strftime(day, '%Y-%m-%d') as day, {', '.join(cols)} from x"
 
 
+def p6_volatility(spark: SparkSession, d: str) -> DataFrame:
+    """addv_20d, atr_14d and yang_zhang_vol_14d over calendar days, those without activity included, up to and with the day.
+
+    A day without a session adds no dollars, no range and returns of zero; a figure needs its whole
+    window inside the security's calendar.  The estimator's parts come as sums from the range join.
+    """
+    from tapeglass.operators.history import with_returns
+
+    p = standing_sessions(spark, d).select("security_id", "day", *[F.col(f"rth_{a}").alias(a[0]) for a in ("open", "high", "low", "close")], F.coalesce("dollar_volume", F.lit(0.0)).alias("q"))
+    p = with_returns(p)
+    parts = {"q": F.col("q"), "tr": F.coalesce("tr", F.col("h") - F.col("l")), "on": F.col("on"), "on2": F.col("on") * F.col("on"), "oc": F.col("oc"), "oc2": F.col("oc") * F.col("oc"), "rs": F.col("rs")}
+    t = trailing.trailing_totals(p, ["security_id"], "day", parts, [14, 20])
+    age = F.datediff("day", F.min("day").over(Window.partitionBy("security_id"))) + 1
+    n, k = 14, 0.34 / (1.34 + 15 / 13)
+    x = lambda c: F.col(f"{c}_14d_total")
+    var = lambda c: (x(f"{c}2") - x(c) * x(c) / n) / (n - 1)
+    yz = var("on") + k * var("oc") + (1 - k) * x("rs") / n
+    t = t.withColumns({"age": age, "yz": yz})
+    return t.select(
+        "security_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.when(F.col("age") >= 20, F.round(F.col("q_20d_mean"), 4)).alias("addv_20d"),
+        F.when(F.col("age") >= 14, F.round("tr_14d_mean", 6)).alias("atr_14d"), F.when((F.col("age") >= 14) & (F.col("yz") >= 0), F.round(F.sqrt(F.col("yz") * 252), 5)).alias("yang_zhang_vol_14d"),
+    )
+
+
+_K14 = 0.34 / (1.34 + 15 / 13)
+P6_VOL_SQL = f"""
+with s as (select security_id, day, arg_max(struct_pack(o := rth_open, h := rth_high, l := rth_low, c := rth_close, q := dollar_volume), row(ingested_at, display_symbol, rth_open, rth_high, rth_low, rth_close, volume, dollar_volume)) as r from day_session where security_id is not null group by all),
+p0 as (select security_id, day, r.o as o, r.h as h, r.l as l, r.c as c, coalesce(r.q, 0) as q, lag(r.c) over (partition by security_id order by day) as pc from s),
+p as (select security_id, day, q, case when pc is not null then greatest(h - l, abs(h - pc), abs(l - pc)) else h - l end as tr, case when pc > 0 and o > 0 and h > 0 and l > 0 and c > 0 then ln(o / pc) end as n, case when o > 0 and h > 0 and l > 0 and c > 0 then ln(c / o) end as oc, case when o > 0 and h > 0 and l > 0 and c > 0 then ln(h / c) * ln(h / o) + ln(l / c) * ln(l / o) end as rs from p0),
+cal as (select security_id, cast(unnest(generate_series(min(day), max(day), interval 1 day)) as date) as day from p group by 1),
+x as (select cal.security_id, cal.day, coalesce(q, 0) as q, coalesce(tr, 0) as tr, coalesce(n, 0) as n, coalesce(oc, 0) as oc, coalesce(rs, 0) as rs from cal left join p on p.security_id = cal.security_id and p.day = cal.day),
+y as (select *, row_number() over w as age, avg(q) over (partition by security_id order by day rows between 19 preceding and current row) as addv, avg(tr) over f as atr, var_samp(n) over f + {_K14!r} * var_samp(oc) over f + {1 - _K14!r} * avg(rs) over f as yz from x window w as (partition by security_id order by day), f as (partition by security_id order by day rows between 13 preceding and current row))
+select security_id, strftime(day, '%Y-%m-%d') as day, case when age >= 20 then round(addv, 4) end as addv_20d, case when age >= 14 then round(atr, 6) end as atr_14d, case when age >= 14 and yz >= 0 then round(sqrt(yz * 252), 5) end as yang_zhang_vol_14d from y
+"""
+
 # p7 -----------------------------------------------------------------------------------------------
 
 PROBS = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -347,6 +382,6 @@ def _p7_sql() -> str:
 
 QUERIES = {
     "p1_found": p1_found, "p1_history": p1_history, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p4_state": p4_state, "p4_run": p4_run,
-    "p5_found": p5_found, "p5_stamps": p5_stamps, "p6_found": p6_found, "p6_trailing": p6_trailing, "p7_percentiles": p7_percentiles, "p7_combined": p7_combined,
+    "p5_found": p5_found, "p5_stamps": p5_stamps, "p6_found": p6_found, "p6_trailing": p6_trailing, "p6_volatility": p6_volatility, "p7_percentiles": p7_percentiles, "p7_combined": p7_combined,
 }
-SQL = {"p1_found": P1_SQL, "p1_history": P1_HISTORY_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_series": P3_SERIES_SQL, "p4_found": P4_SQL, "p4_state": P4_STATE_SQL, "p4_run": P4_RUN_SQL, "p6_found": P6_SQL, "p6_trailing": _p6_trailing_sql(), "p7_percentiles": _p7_sql(), "p7_combined": _p7_sql()}
+SQL = {"p1_found": P1_SQL, "p1_history": P1_HISTORY_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_series": P3_SERIES_SQL, "p4_found": P4_SQL, "p4_state": P4_STATE_SQL, "p4_run": P4_RUN_SQL, "p6_found": P6_SQL, "p6_trailing": _p6_trailing_sql(), "p6_volatility": P6_VOL_SQL, "p7_percentiles": _p7_sql(), "p7_combined": _p7_sql()}

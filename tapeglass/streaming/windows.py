@@ -22,7 +22,7 @@ def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def window_counts(stream: DataFrame, at: str, key: str, value: str, size: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
     """Tumbling or sliding windows per key, with ``late`` allowed before a window is closed."""
-    w = F.window(F.col(at).cast("timestamp"), size, slide) if slide else F.window(F.col(at).cast("timestamp"), size)
+    w = F.window(at, size, slide) if slide else F.window(at, size)  # of the watermarked column itself, else no window is ever closed
     s = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
     return s.groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
@@ -42,7 +42,7 @@ def run_available(df: DataFrame, mode: str = "complete") -> DataFrame:
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def store(batch: DataFrame, number: int) -> None:
-        (batch.write.mode("overwrite").parquet(f"{root}/out") if mode == "complete" else batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}"))
+        batch.write.mode("overwrite").parquet(f"{root}/out" if mode == "complete" else f"{root}/out/batch={number}")
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(store).start()
     q.awaitTermination()

@@ -15,7 +15,8 @@ def test_peel_goes_on_until_the_least_share_is_left(spark):
         cands = []
         for k, f in ((0, "a"), (1, "b")):
             lo, hi = np.quantile(box[:, k], [0.05, 0.95])
-            cands += [(f, "low", lo, box[box[:, k] > lo]), (f, "high", hi, box[box[:, k] < hi])]
+            low, high = box[box[:, k] > lo], box[box[:, k] < hi]
+            cands += [(f, "low", box[box[:, k] <= lo][:, k].max(), low), (f, "high", high[:, k].max(), high)]
         cands = [c for c in cands if len(c[3]) >= 200]
         if not cands:
             break
@@ -25,3 +26,5 @@ def test_peel_goes_on_until_the_least_share_is_left(spark):
     for r, (f, side, x, n, m) in zip(got, want):
         assert (r["feature"], r["side"], r["n"]) == (f, side, n) and abs(r["bound"] - x) < 1e-9 and abs(r["mean"] - m) < 1e-9
     assert peel(spark.createDataFrame([], "a double, b double, y double"), ["a", "b"], "y") == []
+    one = spark.createDataFrame([(1.0, 2.0)] * 30, "a double, y double")
+    assert peel(one, ["a"], "y") == []
