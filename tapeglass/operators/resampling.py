@@ -13,10 +13,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _draw(b: np.ndarray, k: np.ndarray, seed: int) -> np.ndarray:
+    """A number below 2**31 for draw b and block k, by integer arithmetic that SQL can repeat; see ``draw_sql``."""
+    m = np.int64(1 << 31)
+    x = (b * 1000003 + k * 7919 + seed) % m
+    for factor, plus, shift in _ROUNDS:
+        x = (x * factor + plus) % m
+        x = x ^ (x >> shift)
+    return x
+
+
+#: factors, addends and shifts of the draws
+_ROUNDS = ((1103515245, 12345, 15), (747796405, 1013904223, 13), (1103515245, 12345, 16))
+
+
+def draw_sql(b: str, k: str, seed: int) -> str:
+    """The same in SQL."""
+    x = f"(({b} * 1000003 + {k} * 7919 + {seed}) % 2147483648)"
+    for factor, plus, shift in _ROUNDS:
+        x = f"list_transform([({x} * {factor} + {plus}) % 2147483648], lambda x{shift}: xor(x{shift}, x{shift} >> {shift}))[1]"
+    return x
+
+
 def _blocks(n: int, length: int, draws: int, seed: int) -> np.ndarray:
     """Positions of circular blocks: draws x n."""
-    rng = np.random.default_rng(seed)
-    starts = rng.integers(0, n, size=(draws, -(-n // length)))
+    starts = _draw(np.arange(draws, dtype=np.int64)[:, None], np.arange(-(-n // length), dtype=np.int64)[None, :], seed) % n
     return ((starts[:, :, None] + np.arange(length)) % n).reshape(draws, -1)[:, :n]
 
 

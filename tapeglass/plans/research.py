@@ -164,23 +164,47 @@ def survival_conditions(spark, d):
 # without SQL: seeded numpy, driver loops, models ---------------------------------------------------
 
 
-@query()
+_CELL = "case when ret > 0.01 then 'up' when ret < -0.01 then 'down' else 'flat' end"
+
+
+def _bootstrap_sql(length: int) -> str:
+    h = resampling.draw_sql("b", f"(i // least({length}, n))", 11)
+    return _F + f""", ser as (select {_CELL} as cell, day, avg(fwd) as x from f group by 1, 2), num as (select cell, x, row_number() over (partition by cell order by day) - 1 as pos, count(*) over (partition by cell) as n from ser),
+    dr as (select cell, n, b, unnest(range(0, n)) as i from (select distinct cell, n from num) cross join (select unnest(range(0, 1000)) as b)),
+    pk as (select cell, b, ({h} % n + i % least({length}, n)) % n as pos from dr), mm as (select pk.cell, b, avg(x) as m from pk join num on num.cell = pk.cell and num.pos = pk.pos group by pk.cell, b)
+    select mm.cell, any_value(s.days) as days, round(any_value(s.mean), 8) as mean, round(stddev_pop(m), 8) as se, round(quantile_cont(m, 0.05), 8) as lower, round(quantile_cont(m, 0.95), 8) as upper, round(avg((m <= 0)::int), 6) as p
+    from mm join (select cell, count(*) as days, avg(x) as mean from num group by cell) s on s.cell = mm.cell group by mm.cell"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 8).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _cell_series(spark, d) -> DataFrame:
+    f = _forward(spark, d).withColumn("cell", F.when(F.col("ret") > 0.01, "up").when(F.col("ret") < -0.01, "down").otherwise("flat"))
+    return f.groupBy("cell", "day").agg(F.avg("fwd").alias("x"))
+
+
+@query(_bootstrap_sql(1))
 def bootstrap_lb(spark, d):
     """Day bootstrap of next-day returns after up, flat and down days."""
-    f = _forward(spark, d).withColumn("cell", F.when(F.col("ret") > 0.01, "up").when(F.col("ret") < -0.01, "down").otherwise("flat"))
-    return resampling.bootstrap(f.groupBy("cell", "day").agg(F.avg("fwd").alias("x")), "cell", "day", "x")
+    return _rounded(resampling.bootstrap(_cell_series(spark, d), "cell", "day", "x"))
 
 
-@query()
+@query(_bootstrap_sql(5))
 def block_bootstrap_ci(spark, d):
-    f = _forward(spark, d).withColumn("cell", F.when(F.col("ret") > 0.01, "up").when(F.col("ret") < -0.01, "down").otherwise("flat"))
-    return resampling.bootstrap(f.groupBy("cell", "day").agg(F.avg("fwd").alias("x")), "cell", "day", "x", length=5)
+    """The same with circular blocks of five days."""
+    return _rounded(resampling.bootstrap(_cell_series(spark, d), "cell", "day", "x", length=5))
 
 
-@query()
+@query(_F + f""", ser as (select day, avg(fwd) as b, avg(case when ret > 0 then fwd end) as a from f group by day), num as (select a, b, row_number() over (order by day) - 1 as pos, count(*) over () as n from ser where a is not null and b is not null),
+    dr as (select n, b as draw, unnest(range(0, n)) as i from (select distinct n from num) cross join (select unnest(range(0, 1000)) as b)), pk as (select draw, ({resampling.draw_sql("draw", "(i // 5)", 11)} % n + i % 5) % n as pos from dr),
+    mm as (select draw, avg(a) / stddev_samp(a) * sqrt(252.0) - avg(b) / stddev_samp(b) * sqrt(252.0) as x from pk join num using (pos) group by draw)
+    select 'up_less_all' as cell, any_value(s.days) as days, round(any_value(s.d), 8) as difference, round(quantile_cont(x, 0.05), 8) as lower, round(quantile_cont(x, 0.95), 8) as upper from mm, (select count(*) as days, avg(a) / stddev_samp(a) * sqrt(252.0) - avg(b) / stddev_samp(b) * sqrt(252.0) as d from num) s""")
 def paired_sharpe_difference(spark, d):
+    """Difference of annual Sharpe ratios of the days' risers and of all names, the same blocks drawn for both."""
     f = _forward(spark, d).groupBy("day").agg(F.avg("fwd").alias("a"), F.avg(F.when(F.col("ret") > 0, F.col("fwd"))).alias("b")).withColumn("cell", F.lit("up_less_all"))
-    return resampling.paired_sharpe(f, "cell", "day", "b", "a")
+    return _rounded(resampling.paired_sharpe(f, "cell", "day", "b", "a"))
 
 
 @query()
@@ -189,14 +213,17 @@ def prim_peel_step(spark, d):
     return spark.createDataFrame([tuple(r.values()) for r in subgroup.peel(f, ["ret", "size", "spread"], "fwd")], "step int, feature string, side string, bound double, n bigint, mean double")
 
 
-@query()
+_DECAY = 0.5 ** (1 / 10)
+
+
+@query(_P + f", n as (select security_id, day, lret * lret as x, row_number() over (partition by security_id order by day) as k, first_value(lret * lret) over (partition by security_id order by day) as x1 from p where lret is not null), c as (select *, sum(x * {1 - _DECAY!r} * power({_DECAY!r}, -k)) over (partition by security_id order by day) as s from n) select security_id, strftime(day, '%Y-%m-%d') as day, round(sqrt(power({_DECAY!r}, k) * (x1 + s) * 252), 6) as vol from c")
 def ewma_vol(spark, d):
     """Exponentially weighted volatility (half-life 10 days) of each security, one recursion over its whole series, on every day with a return.
 
     Over squared log returns, begun with the first; the reference begins its one series with the variance of the first twenty, which looks ahead.
     """
     v = H.ewma(panel(spark, d).withColumn("sq", F.col("lret") * F.col("lret")), "sq", 10)
-    return v.select("security_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.sqrt(F.col("ewma") * 252), 8).alias("vol"))
+    return v.select("security_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.sqrt(F.col("ewma") * 252), 6).alias("vol"))
 
 
 def _features(spark, d) -> DataFrame:
