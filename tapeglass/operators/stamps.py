@@ -38,6 +38,7 @@ CASCADE = [
     (rf"(?:{_DOW}, )?(\d{{1,2}}) {_MON} (\d{{4}})(?: {_TIME} ?{_ZONE}?)?", "$4|$3|$2|$5|$6|$7|$8||$9|$1"),
     (rf"{_MON} (\d{{1,2}}), (\d{{4}})(?: {_CLOCK}(?: ?{_ZONE})?)?", "$3|$1|$2|$4|$5|$6|$7|$8|$9|"),
 ]
+PLAIN = r"[12]\d{3}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d{1,6})?"
 COUNT = r"\d{9,19}(?:\.\d{1,9})?|\d(?:\.\d+)?E\+?\d{1,2}"
 #: units of counts since 1970: how many make a second
 UNITS = (1, 1_000, 1_000_000, 1_000_000_000)
@@ -48,13 +49,20 @@ def zone_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones())], "zone string")
 
 
-def _read(df: DataFrame, value: str, first_year: int, last_year: int, policy: str) -> DataFrame:
+def _read(df: DataFrame, value: str, first_year: int, last_year: int, policy: str, utc: bool) -> DataFrame:
     """``df``, with a valid zone name in ``_zone``, plus ``_micros`` and ``_status``.
 
     Each step is a projection of its own, so that nothing is worked out twice.
     """
+    # the commonest form, with its offset or where the default is UTC, is read at once; for the rest of the
+    # cascade such a value is null, over which every step passes
+    plain, zoned = F.col(value).rlike(f"^{PLAIN}$"), F.col(value).rlike(f"^{PLAIN}(?:Z|[+-]\\d\\d:\\d\\d)$")
+    quick = F.when(zoned, F.col(value))
+    if utc:
+        quick = quick.when(plain, F.concat(F.col(value), F.lit("Z")))
+    df = df.withColumn("_quick", F.unix_micros(quick.try_cast("timestamp")))
     v = F.upper(F.regexp_replace(F.col(value), r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$", ""))
-    df = df.withColumn("_v", v)
+    df = df.withColumn("_v", F.when(F.col("_quick").isNull(), v))
     canon = None
     for pattern, order in CASCADE:
         hit, out = F.col("_v").rlike(f"^(?:{pattern})$"), F.regexp_replace("_v", f"^(?:{pattern})$", order)
@@ -99,7 +107,7 @@ def _read(df: DataFrame, value: str, first_year: int, last_year: int, policy: st
     by_zone = (own == "") | own.isin(*CIVIL_ZONES)
     right_day = (F.col("_w") == "") | (F.element_at(F.array(*[F.lit(w) for w in WEEKDAYS]), F.weekday(F.date_from_unix_date("_days")) + 1) == F.col("_w"))
     status = (
-        F.when(F.col("_v").isNull() | (F.col("_v") == ""), "missing")
+        F.when(F.col("_quick").isNotNull(), "ok").when(F.col("_v").isNull() | (F.col("_v") == ""), "missing")
         .when(F.col("_part").isNull(), F.when(F.col("_unit").isNotNull(), "ok").otherwise("unreadable"))
         .when(F.col("_days").isNull(), "no_such_date")
         .when(~right_day | ~F.col("_clock") | ~F.col("_hour").between(0, 23), "unreadable")
@@ -108,7 +116,7 @@ def _read(df: DataFrame, value: str, first_year: int, last_year: int, policy: st
     )
     df = df.withColumn("_status", status)
     chosen = {"reject": F.lit(None).cast("bigint"), "earlier": F.least(b, a), "later": F.greatest(b, a)}[policy]
-    instant = F.when(F.col("_part").isNull(), F.col("_unit")).when(by_zone, F.when(b_ok, b).otherwise(a)).otherwise(local - F.col("_offset").cast("bigint") * F.lit(60_000_000))
+    instant = F.when(F.col("_quick").isNotNull(), F.col("_quick")).when(F.col("_part").isNull(), F.col("_unit")).when(by_zone, F.when(b_ok, b).otherwise(a)).otherwise(local - F.col("_offset").cast("bigint") * F.lit(60_000_000))
     return df.withColumn("_micros", F.when(F.col("_status") == "ok", instant).when(F.col("_status").isin("ambiguous", "skipped"), chosen))
 
 
@@ -141,7 +149,7 @@ def normalise_stamps(df: DataFrame, value: str, zone: str | None, default_zone:
         blank = F.col(zone).isNull() | (F.trim(zone) == "")
         out = out.withColumn("_want", F.when(blank, F.lit(default_zone)).otherwise(F.trim(zone))).join(names, F.col("_want") == F.col("_name"), "left")
         out = out.withColumns({"_zone": F.coalesce("_name", F.lit("UTC")), "_known": F.col("_name").isNotNull()})
-    out = _read(out, "_raw", first_year, last_year, policy)
+    out = _read(out, "_raw", first_year, last_year, policy, zone is None and default_zone == "UTC")
     lost = ~F.col("_known") & (F.col("_status") != "missing")
     # a later filter must not be pushed through these projections: with every alias written out it
     # would grow beyond bounds.  Spark moves no filter below a column it holds to be indeterminate.

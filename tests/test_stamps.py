@@ -67,3 +67,14 @@ def test_policies_and_empty(spark):
     assert normalise_stamps(df.limit(0), "v", None).count() == 0
     with pytest.raises(ValueError):
         normalise_stamps(df, "v", None, policy="guess")
+
+
+def test_quick_form_equals_the_cascade(spark):
+    """The form that is read at once gives what the cascade gives for the same value with a blank before it."""
+    days, times = ["2024-02-29", "2023-02-29", "1999-12-31", "2024-13-01"], ["00:00:00", "23:59:59.999999", "24:00:00", "12:30:60", "07:08:09.5"]
+    values = [f"{d}{sep}{t}{z}" for d in days for sep in "T " for t in times for z in ("", "Z", "+00:00", "-05:30", "+18:00", "+18:30", "+25:00")]
+    df = spark.createDataFrame([(v,) for v in values], "raw string")
+    for default in ("UTC", "America/New_York"):
+        one = normalise_stamps(df, "raw", None, default).collect()
+        two = normalise_stamps(df.selectExpr("concat(' ', raw) as raw"), "raw", None, default).collect()
+        assert [(r.raw, r.utc_micros, r.stamp_status) for r in one] == [(r.raw.strip(), r.utc_micros, r.stamp_status) for r in two]
