@@ -37,8 +37,8 @@ def day_tape(bars: DataFrame, context: DataFrame | None, calendar: DataFrame, of
     known before the day, one row each, or None (then there is no ctx).  ``calendar``: day, day_idx.  Columns: sym, blk, D, day, ctx, k
     (trading days after the entry day), mod (minute of day; below 570 of the entry day only), pos, o, h,
     l, c, v, before (close of the bar before), gap (minutes since the bar before on the same day), ends
-    (whether the day ends), next_mod, opens (first minute of the day), fills (per offset the first
-    regular bar at or after it, null without one).  Of several rows for a minute the one stamped last
+    (whether the day ends), next_mod, opens (first minute of the day), fills (entry and f for each offset
+    that has one: the first regular bar at or after it).  Of several rows for a minute the one stamped last
     stands.  Rows without traded volume, symbol or time are left out.
     """
     cal = F.broadcast(calendar.select(F.col("day").alias("_d"), F.col("day_idx").alias("i")))  # a row per trading day
@@ -52,42 +52,51 @@ def day_tape(bars: DataFrame, context: DataFrame | None, calendar: DataFrame, of
         b = b.withColumn("ctx", none.cast(known.schema["ctx"].dataType)).unionByName(known)
         facts = ["ctx"]
     both = b.join(cal, F.col("day") == F.col("_d")).drop("_d")
-    block = lambda i: floor_div(i.cast("bigint"), BLOCK)
+    block = lambda i: F.floor(i / BLOCK)
     own = F.array(block(F.col("i")))
     blocks = F.when(F.col("mod") >= OPEN, F.array_distinct(F.array(block(F.col("i")), block(F.col("i") - REACH)))).otherwise(own)
-    both = both.withColumn("blk", F.explode(blocks)).repartition("sym", "blk")
+    # a small input is much work all the same: the number is given, so that tasks aren't put together by size
+    spark = bars.sparkSession
+    both = both.withColumn("blk", F.explode(blocks)).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "sym", "blk")
     one = both.groupBy("sym", "blk", "i", "day", "mod").agg(F.max("r").alias("r"), *[F.max(c).alias(c) for c in facts])
-    days = F.when(F.col("mod") >= OPEN, F.sequence(F.lit(0), F.lit(REACH))).otherwise(F.array(F.lit(0)))
-    t = one.withColumn("k", F.explode(days)).withColumn("D", F.col("i") - F.col("k")).where((F.col("D") >= 0) & (block(F.col("D")) == F.col("blk")))
+    regular = F.col("mod") >= OPEN
+    # days of the block on which the symbol has a regular bar: only they are entry days (69 at most)
+    here = F.collect_set(F.when(regular, F.col("i"))).over(Window.partitionBy("sym", "blk"))
+    reach = F.when(regular, F.sequence(F.lit(0), F.lit(REACH))).otherwise(F.array(F.lit(0)))
+    inside = lambda k: (F.floor((F.col("i") - k) / BLOCK) == F.col("blk")) & F.array_contains("here", F.col("i") - k)
+    t = one.withColumn("here", here).withColumn("k", F.explode(F.filter(reach, inside))).withColumn("D", F.col("i") - F.col("k"))
     t = t.select("sym", "blk", "D", "day", "k", "mod", *facts, *[F.col(f"r.{n}").alias(a) for n, a in (("open", "o"), ("high", "h"), ("low", "l"), ("close", "c"), ("volume", "v"))])
     w = Window.partitionBy("sym", "blk", "D")
     order = w.orderBy("k", "mod")
-    regular = F.col("mod") >= OPEN
-    t = t.withColumn("pos", F.row_number().over(order).cast("bigint"))
-    bar = F.struct("pos", "mod", "o", "h", "l", "c", "v")
-    fill = lambda e: F.min(F.when((F.col("k") == 0) & (F.col("mod") >= minute_of(e)), bar)).over(w)
+    earlier = F.lag(F.when(regular, F.col("mod"))).over(order)
     same = F.lag("k").over(order) == F.col("k")
     following = F.lead("k").over(order)
-    first = Window.partitionBy("sym", "blk", "D", "k")
     t = t.withColumns({
-        **{c: F.max(c).over(w) for c in facts}, "day": F.max(F.when(F.col("k") == 0, F.col("day"))).over(w), "fills": F.array(*[fill(e) for e in offsets]),
-        "before": F.when(regular, F.lag("c").over(order)), "gap": F.when(same & regular & (F.lag("mod").over(order) >= OPEN), F.col("mod") - F.lag("mod").over(order)),
-        "ends": following.isNull() | (following > F.col("k")), "next_mod": F.lead("mod").over(order),
+        "pos": F.row_number().over(order).cast("bigint"), **{c: F.max(c).over(w) for c in facts}, "day": F.max(F.when(F.col("k") == 0, F.col("day"))).over(w),
+        "before": F.when(regular, F.lag("c").over(order)), "gap": F.when(same & regular, F.col("mod") - earlier),
+        "ends": following.isNull() | (following > F.col("k")), "next_mod": F.lead("mod").over(order), "_earlier": F.when(same, earlier),
     })
-    t = t.withColumn("opens", F.min(F.when(regular, F.col("mod"))).over(first))
+    # a bar fills the minutes after the bar before it, up to its own
+    minutes = F.array(*[F.struct(F.lit(e).alias("entry"), F.lit(minute_of(e)).alias("m")) for e in offsets])
+    mine = F.filter(minutes, lambda e: (e.m <= F.col("mod")) & (F.col("_earlier").isNull() | (e.m > F.col("_earlier"))))
+    bar = F.struct("pos", "mod", "o", "h", "l", "c", "v")
+    entry_bar = regular & (F.col("k") == 0) & F.col("c").isNotNull()
+    t = t.withColumn("_fills", F.when(entry_bar & (F.size(mine) > 0), F.transform(mine, lambda e: F.struct(e.entry.alias("entry"), bar.alias("f")))))
+    first = Window.partitionBy("sym", "blk", "D", "k")
+    t = t.withColumns({"fills": F.flatten(F.collect_list("_fills").over(w)), "opens": F.min(F.when(regular, F.col("mod"))).over(first)})  # an entry each
+    t = t.drop("_fills", "_earlier")
     return t.where(F.col("c").isNotNull() & F.col("day").isNotNull())
 
 
-def entries(tape: DataFrame, offsets: list[str]) -> DataFrame:
+def entries(tape: DataFrame) -> DataFrame:
     """``day_tape`` once per entry with a fill: entry, f (the fill's bar), price, atr, idx (bars since the fill, below 0 before it)."""
-    each = F.array(*[F.struct(F.lit(e).alias("entry"), F.col("fills")[j].alias("f")) for j, e in enumerate(offsets)])
-    x = tape.withColumn("_e", F.explode(F.filter(each, lambda e: e.f.o > 0))).withColumns({"entry": F.col("_e.entry"), "f": F.col("_e.f")}).drop("fills", "_e")
+    x = tape.withColumn("_e", F.explode(F.filter("fills", lambda e: e.f.o > 0))).withColumns({"entry": F.col("_e.entry"), "f": F.col("_e.f")}).drop("fills", "_e")
     return x.withColumns({"price": F.col("f.o"), "idx": F.col("pos") - F.col("f.pos")})
 
 
-def follow(tape: DataFrame, offsets: list[str]) -> DataFrame:
+def follow(tape: DataFrame) -> DataFrame:
     """The bars from each fill on: idx counts from 0."""
-    return entries(tape, offsets).where(F.col("idx") >= 0)
+    return entries(tape).where(F.col("idx") >= 0)
 
 
 KEY = ["sym", "blk", "D", "day", "entry"]

@@ -41,7 +41,7 @@ def day_tape(spark: SparkSession, d: str, known: bool = False) -> DataFrame:
 
 
 def follow(spark: SparkSession, d: str, known: bool = False) -> DataFrame:
-    return W.follow(day_tape(spark, d, known), W.OFFSETS)
+    return W.follow(day_tape(spark, d, known))
 
 
 def _key() -> list:
@@ -80,8 +80,8 @@ he as (select sym, day, entry, z.horizon as horizon, z.e as e from hz)
 def entry_resolution(spark, d):
     """Every symbol and day with a regular bar at all 17 entries: the first bar at or after the minute, at its open; nulls without one."""
     t = day_tape(spark, d).where((F.col("k") == 0) & (F.col("mod") == F.col("opens")))
-    each = F.array(*[F.struct(F.lit(e).alias("entry"), F.lit(W.minute_of(e)).alias("m"), F.col("fills")[j].alias("f")) for j, e in enumerate(W.OFFSETS)])
-    x = t.select("sym", "day", F.inline(each))
+    all_of = F.array(*[F.struct(F.lit(e).alias("entry"), F.lit(W.minute_of(e)).alias("m")) for e in W.OFFSETS])
+    x = t.withColumn("_f", F.map_from_entries("fills")).select("sym", "day", "_f", F.inline(all_of)).withColumn("f", F.col("_f")[F.col("entry")])
     good = F.col("f.o") > 0
     return x.select(*_key(), F.col("f.mod").alias("fill"), F.when(good, F.col("f.o")).alias("price"), F.when(good, F.col("f.mod") > F.col("m")).alias("halted"))
 
@@ -97,7 +97,7 @@ def pre_entry(spark, d):
 
 
 def _pre(spark, d, known: bool = False) -> DataFrame:
-    x = W.entries(day_tape(spark, d, known), W.OFFSETS).where((F.col("k") == 0) & (F.col("idx") <= 0))
+    x = W.entries(day_tape(spark, d, known)).where((F.col("k") == 0) & (F.col("idx") <= 0))
     before = (F.col("mod") >= W.OPEN) & (F.col("idx") < 0)
     some = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     return x.groupBy(*W.KEY, "price", "f", *(["ctx"] if known else [])).agg(
@@ -284,7 +284,7 @@ def _days(spark, d) -> DataFrame:
     t = day_tape(spark, d).where(F.col("mod") >= W.OPEN)
     day = t.groupBy("sym", "blk", "D", "day", "k").agg(F.first("fills").alias("fills"), F.struct(F.min_by("o", "mod").alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "mod").alias("c"), *[F.max_by("c", F.when(F.col("mod") <= F.col("opens") + m, F.col("mod"))).alias(f"m{m}") for m in (5, 15, 30)]).alias("s"))
     per = day.groupBy("sym", "blk", "D", "day").agg(F.first("fills").alias("fills"), *[F.max(F.when(F.col("k") == k, F.col("s"))).alias(f"d{k}") for k in range(6)])
-    each = F.array(*[F.struct(F.lit(e).alias("entry"), F.col("fills")[j]["o"].alias("price")) for j, e in enumerate(W.OFFSETS)])
+    each = F.transform("fills", lambda x: F.struct(x.entry.alias("entry"), x.f.o.alias("price")))
     return per.select(*[c for c in per.columns if c != "fills"], F.inline(each)).where(F.col("price") > 0)
 
 

@@ -144,7 +144,7 @@ def cost_model_cells(spark, d):
 
 def _costs(spark, d) -> DataFrame:
     t = forward.day_tape(spark, d).where((F.col("k") == 0) & (F.col("mod") == F.col("opens")))
-    x = t.select("sym", "day", F.inline(F.array(*[F.struct(F.lit(e).alias("entry"), F.col("fills")[j].alias("f")) for j, e in enumerate(forward.W.OFFSETS)]))).where((F.col("f.o") > 0) & (F.col("f.c") * F.col("f.v") > 0))
+    x = t.select("sym", "day", F.inline("fills")).where((F.col("f.o") > 0) & (F.col("f.c") * F.col("f.v") > 0))
     price = F.col("f.o")
     spread = F.greatest(F.least((F.col("f.h") - F.col("f.l")) / 2 / price * 10000, F.lit(50.0)), F.lit(0.005) / price * 10000)
     return x.select("sym", _iso(), "entry", spread.alias("spread"), (10 * F.sqrt(F.lit(10000) / (F.col("f.c") * F.col("f.v")))).alias("impact"), (price < 20).alias("cheap"))
