@@ -40,6 +40,14 @@ def day_tape(spark: SparkSession, d: str, known: bool = False) -> DataFrame:
     return W.day_tape(table(spark, d, "bars_1m_raw"), context(spark, d) if known else None, trading_days(table(spark, d, "day_session")), W.OFFSETS)
 
 
+def _sides(spark: SparkSession, d: str, known: bool) -> tuple:
+    return table(spark, d, "bars_1m_raw"), context(spark, d) if known else None, trading_days(table(spark, d, "day_session"))
+
+
+def states(spark: SparkSession, d: str, names: list[str], known: bool = False) -> DataFrame:
+    return W.path_states(*_sides(spark, d, known), names)
+
+
 def follow(spark: SparkSession, d: str, known: bool = False) -> DataFrame:
     return W.follow(day_tape(spark, d, known))
 
@@ -131,23 +139,14 @@ def pre_entry_ranks(spark, d):
     return k.select("sym", "day", "entry", "ret_rank", F.round("ret_pct", 9).alias("ret_pct"), "dollars_rank")
 
 
-def _grid(found: DataFrame, names: list[str], name: str) -> DataFrame:
-    """One row per key and name of the grid: what was found for it in ``s``, or null."""
-    m = F.map_from_entries(F.collect_list(F.struct(name, "s")))
-    per = found.groupBy(*W.KEY).agg(m.alias("m"))
-    return per.select(*W.KEY, F.inline(F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.struct(n.alias(name), F.col("m")[n].alias("s")))))
-
-
 @query(_T + ", st as (select he.sym, he.day, he.entry, he.horizon, any_value(price) as p, count(t.idx) as n, arg_max(c, idx) as c, max(h) as h, arg_max(idx, row(h, -idx)) as hi, min(l) as l, arg_min(idx, row(l, idx)) as li, max(c) as cm, arg_max(idx, row(c, -idx)) as cmi, min(c) as cn, arg_min(idx, row(c, idx)) as cni from he left join t on t.sym = he.sym and t.day = he.day and t.entry = he.entry and t.idx <= he.e group by all), g as (select he.sym, he.day, he.entry, he.horizon, max(x.g) as g from he join (select *, case when k = lag(k) over w then mod - lag(mod) over w end as g from t window w as (partition by sym, day, entry order by idx)) x on x.sym = he.sym and x.day = he.day and x.entry = he.entry and x.idx <= he.e group by all) select sym, day, entry, horizon, round(c / p - 1, 6) as ret, round(h / p - 1, 6) as max_runup, hi as bars_to_max_runup, round(l / p - 1, 6) as max_drawdown, li as bars_to_max_drawdown, round(cm / p - 1, 6) as close_max_ret, cmi as bars_to_close_max, round(cn / p - 1, 6) as close_min_ret, cni as bars_to_close_min, case when n > 0 then coalesce(g, 0) end as bar_gap_max from st left join g using (sym, day, entry, horizon)")
 def horizon_stats(spark, d):
     """Return, extremes, bars to them and the longest pause, from each fill to each of eight horizons; nulls where the horizon has no bars."""
-    t = W.running(follow(spark, d)).withColumn("horizon", F.explode(W.ends_of(W.HORIZONS)))
-    found = t.select(*W.KEY, "horizon", F.struct("price", "c", "hi", "lo", "cmax", "cmin", "pause").alias("s"))
-    g = _grid(found, W.HORIZONS, "horizon")
-    ret = lambda c, n: _r(F.col(f"s.{c}") / F.col("s.price") - 1).alias(n)
+    g = states(spark, d, W.HORIZONS)
+    ret = lambda c, n: _r(F.col(c) / F.col("price") - 1).alias(n)
     return g.select(
-        *_key(), "horizon", ret("c", "ret"), ret("hi.h", "max_runup"), (-F.col("s.hi.n")).alias("bars_to_max_runup"), ret("lo.l", "max_drawdown"), F.col("s.lo.idx").alias("bars_to_max_drawdown"),
-        ret("cmax.c", "close_max_ret"), (-F.col("s.cmax.n")).alias("bars_to_close_max"), ret("cmin.c", "close_min_ret"), F.col("s.cmin.idx").alias("bars_to_close_min"), F.when(F.col("s").isNotNull(), F.coalesce("s.pause", F.lit(0))).alias("bar_gap_max"),
+        *_key(), F.col("name").alias("horizon"), ret("c", "ret"), ret("hi", "max_runup"), F.col("hi_at").alias("bars_to_max_runup"), ret("lo", "max_drawdown"), F.col("lo_at").alias("bars_to_max_drawdown"),
+        ret("cmax", "close_max_ret"), F.col("cmax_at").alias("bars_to_close_max"), ret("cmin", "close_min_ret"), F.col("cmin_at").alias("bars_to_close_min"), F.col("pause").cast("int").alias("bar_gap_max"),
     )
 
 
@@ -156,9 +155,7 @@ _RET = ", st as (select he.sym, he.day, he.entry, he.horizon, round(arg_max(c, i
 
 
 def _returns(spark, d) -> DataFrame:
-    t = follow(spark, d).withColumn("horizon", F.explode(W.ends_of(W.HORIZONS)))
-    g = _grid(t.select(*W.KEY, "horizon", F.round(F.col("c") / F.col("price") - 1, 9).alias("s")), W.HORIZONS, "horizon")
-    return g.select(*_key(), "horizon", F.col("s").alias("ret"))
+    return states(spark, d, W.HORIZONS).select(*_key(), F.col("name").alias("horizon"), F.round(F.col("c") / F.col("price") - 1, 9).alias("ret"))
 
 
 @query(_T + _RET + f", {_TOP3}, ix as (select st.day, st.entry, st.horizon, " + ", ".join(f"max(case when top3.j = {j} then st.ret end) as i{j}" for j in (1, 2, 3)) + " from st join top3 using (sym) group by all) select st.sym, st.day, st.entry, st.horizon, " + ", ".join(f"round(st.ret - ix.i{j}, 6) + 0.0 as excess_{j}" for j in (1, 2, 3)) + " from st left join ix on ix.day = st.day and ix.entry = st.entry and ix.horizon = st.horizon")
@@ -182,27 +179,17 @@ def _cross_sql() -> str:
     return _T + f", c as (select sym, day, entry, any_value(atr) as atr, unnest([{lines}]) as z from t group by sym, day, entry) select c.sym, c.day, c.entry, he.horizon, z.kind as kind, z.threshold as threshold, z.side as side, case when he.e is null or (z.kind = 'atr' and not coalesce(atr > 0, false)) then null when z.first <= he.e then z.first + 1 else 0 end as bar from c join he on he.sym = c.sym and he.day = c.day and he.entry = c.entry"
 
 
-def _ends(x: DataFrame | None = None) -> list:
-    k, idx = F.col("k"), F.col("idx")
-    return [*[F.max(F.when((k == 0) & (F.col("mod") <= F.col("f.mod") + n), idx)).alias(h) for h, n in W.MINUTES.items()], F.max(F.when(k == 0, idx)).alias("EOD"), *[F.max(F.when(k == n, idx)).alias(h) for h, n in W.DAYS.items()]]
-
-
 @query(_cross_sql())
 def first_crossing(spark, d):
     """Bar of the first touch of 7 percentages and 6 multiples of the true range, up by highs and down by lows, within each horizon.
 
     Bars count from 1; 0: the horizon was reached and the line wasn't; null: no such horizon, or no true range.
     """
-    price, atr = F.col("price"), F.col("ctx.atr")
-    firsts = []
-    for kind, name, x in _LINES:
-        up = F.col("h") / price - 1 >= x if kind == "pct" else (atr > 0) & (F.col("h") >= price + x * atr)
-        down = F.col("l") / price - 1 <= -x if kind == "pct" else (atr > 0) & (F.col("l") <= price - x * atr)
-        firsts += [(kind, name, side, F.min(F.when(hit, F.col("idx")))) for side, hit in (("up", up), ("down", down))]
-    g = follow(spark, d, known=True).groupBy(*W.KEY).agg(F.max("ctx.atr").alias("atr"), *[c.alias(f"x{j}") for j, (*_, c) in enumerate(firsts)], *_ends())
-    ends = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(h).alias("e")) for h in W.HORIZONS])
-    lines = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("threshold"), F.lit(s).alias("side"), F.col(f"x{j}").alias("first")) for j, (k, n, s, _) in enumerate(firsts)])
-    x = g.select(*W.KEY, "atr", lines.alias("lines"), F.inline(ends)).select(*W.KEY, "atr", "horizon", "e", F.inline("lines"))
+    g = W.path_lines(*_sides(spark, d, True))
+    ends = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col("ends")[j].alias("e")) for j, h in enumerate(W.HORIZONS)])
+    names = [(k, n, side) for k, n, _ in _LINES for side in ("up", "down")]
+    lines = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("threshold"), F.lit(side).alias("side"), F.col("lines")[j].alias("first")) for j, (k, n, side) in enumerate(names)])
+    x = g.select("sym", "day", "entry", "atr", lines.alias("each"), F.inline(ends)).select("sym", "day", "entry", "atr", "horizon", "e", F.inline("each"))
     none = F.col("e").isNull() | ((F.col("kind") == "atr") & ~F.coalesce(F.col("atr") > 0, F.lit(False)))
     return x.select(*_key(), "horizon", "kind", "threshold", "side", F.when(none, F.lit(None)).when(F.col("first") <= F.col("e"), F.col("first") + 1).otherwise(0).cast("bigint").alias("bar"))
 
@@ -222,16 +209,11 @@ def _pairs_sql() -> str:
 @query(_pairs_sql())
 def target_before_stop(spark, d):
     """Eight pairs of target and stop within their horizons; both in one bar count as the stop, no horizon or no true range as no_data."""
-    price, atr = F.col("price"), F.col("ctx.atr")
-    aggs = []
-    for j, (kind, a, b, h) in enumerate(W.PAIRS):
-        up = F.col("h") >= (price * (1 + a) if kind == "pct" else price + a * atr)
-        down = F.col("l") <= (price * (1 - b) if kind == "pct" else price - b * atr)
-        aggs += [F.min(F.when(up, F.col("idx"))).alias(f"t{j}"), F.min(F.when(down, F.col("idx"))).alias(f"s{j}")]
-    g = follow(spark, d, known=True).groupBy(*W.KEY).agg(F.max("ctx.atr").alias("atr"), *aggs, *_ends())
-    yes = F.lit(True)
-    each = F.array(*[F.struct(F.lit(_pair(*p)).alias("pair"), F.col(p[3]).alias("e"), (F.coalesce(F.col("atr") > 0, F.lit(False)) if p[0] == "atr" else yes).alias("known"), F.when(F.col(f"t{j}") <= F.col(p[3]), F.col(f"t{j}")).alias("t"), F.when(F.col(f"s{j}") <= F.col(p[3]), F.col(f"s{j}")).alias("s")) for j, p in enumerate(W.PAIRS)])
-    x = g.select(*W.KEY, F.inline(each))
+    g, yes = W.path_lines(*_sides(spark, d, True)), F.lit(True)
+    within = lambda c, j, e: F.when(F.col(c)[j] <= e, F.col(c)[j])
+    end = {h: F.col("ends")[j] for j, h in enumerate(W.HORIZONS)}
+    each = F.array(*[F.struct(F.lit(_pair(*p)).alias("pair"), end[p[3]].alias("e"), (F.coalesce(F.col("atr") > 0, F.lit(False)) if p[0] == "atr" else yes).alias("known"), within("targets", j, end[p[3]]).alias("t"), within("stops", j, end[p[3]]).alias("s")) for j, p in enumerate(W.PAIRS)])
+    x = g.select("sym", "day", "entry", F.inline(each))
     stop = F.col("s").isNotNull() & (F.col("t").isNull() | (F.col("s") <= F.col("t")))
     event = F.when(F.col("e").isNull() | ~F.col("known"), "no_data").when(stop, "stop_first").when(F.col("t").isNotNull(), "target_first").otherwise("neither")
     x = x.withColumn("first_event", event)
@@ -262,10 +244,8 @@ _UW = ["EOD", *W.DAYS]
 @query(_T + ", x as (select he.horizon, he.e, t.* from t join he on he.sym = t.sym and he.day = t.day and he.entry = t.entry and t.idx <= he.e where he.horizon not in ('10min', '30min', '60min')), y as (select *, sign(c - price) as s, idx - row_number() over (partition by sym, day, entry, horizon, sign(c - price) order by idx) as island, min(case when c < price then idx end) over (partition by sym, day, entry, horizon) as fu from x), r as (select sym, day, entry, horizon, s, island, count(*) as n from y group by all), z as (select sym, day, entry, horizon, max(case when s > 0 then n end) as lo, max(case when s < 0 then n end) as lu from r group by all), w as (select sym, day, entry, horizon, avg((c > price)::int) as po, avg((c < price)::int) as pu, coalesce(min(case when c >= price and idx > fu then idx - fu end), 0) as ttr from y group by all) select he.sym, he.day, he.entry, he.horizon, round(po, 9) as profit_share, round(pu, 9) as under_share, case when po is not null then coalesce(lo, 0) end as longest_profit, case when po is not null then coalesce(lu, 0) end as longest_under, ttr as time_to_recover from he left join z using (sym, day, entry, horizon) left join w using (sym, day, entry, horizon) where he.horizon not in ('10min', '30min', '60min')")
 def time_underwater(spark, d):
     """By closes to each of five horizons: shares above and below the entry, longest runs, bars until the first recovery (0 if none, or never below)."""
-    t = W.running(follow(spark, d)).withColumn("horizon", F.explode(W.ends_of(_UW)))
-    g = _grid(t.select(*W.KEY, "horizon", F.struct("idx", "n_over", "n_under", "longest_over", "longest_under", "first_under", "recovered").alias("s")), _UW, "horizon")
-    n = F.col("s.idx") + 1
-    return g.select(*_key(), "horizon", F.round(F.col("s.n_over") / n, 9).alias("profit_share"), F.round(F.col("s.n_under") / n, 9).alias("under_share"), F.col("s.longest_over").alias("longest_profit"), F.col("s.longest_under").alias("longest_under"), F.when(F.col("s").isNotNull(), F.coalesce(F.col("s.recovered") - F.col("s.first_under"), F.lit(0))).alias("time_to_recover"))
+    n = F.col("idx") + 1
+    return states(spark, d, _UW).select(*_key(), F.col("name").alias("horizon"), F.round(F.col("n_over") / n, 9).alias("profit_share"), F.round(F.col("n_under") / n, 9).alias("under_share"), F.col("longest_over").alias("longest_profit"), "longest_under", F.col("recovery").alias("time_to_recover"))
 
 
 @query(_T + ", n as (select sym, i, arg_min(o, mod) as o, max(h) as h, min(l) as l, arg_max(c, mod) as c, " + ", ".join(f"arg_max(c, mod) filter (mod <= opens + {m}) as m{m}" for m in (5, 15, 30)) + " from rth group by sym, i) select fills.sym, fills.day, fills.entry, round(n.o / price - 1, 6) as open_return, round(n.o / z.c - 1, 6) as gap_return, " + ", ".join(f"round(n.m{m} / n.o - 1, 6) as first_{m}m_return" for m in (5, 15, 30)) + ", round(n.h / n.o - 1, 6) as high_return, round(n.l / n.o - 1, 6) as low_return, round(n.c / n.o - 1, 6) as close_return, round(case when n.h > n.l then (n.c - n.l) / (n.h - n.l) end, 6) as close_location, round(n.c / n.h - 1, 6) as fade_from_high, round(n.c / n.o - 1, 6) as continuation from fills join n z on z.sym = fills.sym and z.i = fills.i left join n on n.sym = fills.sym and n.i = fills.i + 1")
@@ -314,30 +294,26 @@ _CPS = ", cps as (select sym, day, entry, unnest([" + ", ".join(f"struct_pack(ch
 @query(_T + _CPS + ", r as (select *, case when idx > 0 then c / lag(c) over w - 1 end as r, case when k = lag(k) over w then mod - lag(mod) over w end as g from t window w as (partition by sym, day, entry order by idx)), sx as (select cp.sym, cp.day, cp.entry, cp.checkpoint, cp.no, cp.e, any_value(price) as p, any_value(atr) as atr, arg_max(c, idx) as c, max(h) as h, min(l) as l, max(c) as cm, min(c) as cn, sum(v) as v, sum(c * v) as q, avg((c > price)::int) as po, avg((c < price)::int) as pu, stddev_samp(r) as sd, bool_or(coalesce(g, 0) >= 5) as halt from cp left join r on r.sym = cp.sym and r.day = cp.day and r.entry = cp.entry and r.idx <= cp.e group by all), u as (select *, c / p - 1 as ret, last_value(case when e is not null then struct_pack(e := e, r := c / p - 1) end ignore nulls) over (partition by sym, day, entry order by no rows between unbounded preceding and 1 preceding) as b from sx) select sym, day, entry, checkpoint, e as bars_elapsed, round(ret, 6) as ret, round(h / p - 1, 6) as high_ret, round(l / p - 1, 6) as low_ret, round(cm / p - 1, 6) as close_max_ret, round(cn / p - 1, 6) as close_min_ret, v as volume, round(q, 2) as dollars, round(case when v > 0 then q / v end, 6) as vwap, round(po, 9) as profit_share, round(pu, 9) as under_share, round(sd, 6) as vol_within, round(case when e > coalesce(b.e, 0) then (ret - coalesce(b.r, 0)) / (e - coalesce(b.e, 0)) end, 8) + 0.0 as rate_of_change, round(case when atr > 0 then (c - p) / atr end, 6) as ret_over_atr, case when e is not null then halt end as halt_gap from u")
 def checkpoint_path_state(spark, d):
     """State of the path from each fill at 23 checkpoints, a row each; nulls where a checkpoint has no bar."""
-    t = W.running(follow(spark, d, known=True)).withColumn("checkpoint", F.explode(W.checkpoints_of()))
-    kept = ["idx", "price", "c", "hi", "lo", "cmax", "cmin", "volume", "dollars", "n_over", "n_under", "sr", "sr2", "pause", F.col("ctx.atr").alias("atr")]
-    g = _grid(t.select(*W.KEY, "checkpoint", F.struct(*kept).alias("s")), W.CHECKPOINTS, "checkpoint")
-    no = F.array_position(F.array(*[F.lit(c) for c in W.CHECKPOINTS]), F.col("checkpoint"))
-    s = lambda c: F.col(f"s.{c}")
-    g = g.withColumns({"ret": s("c") / s("price") - 1, "no": no})
-    before = Window.partitionBy(*W.KEY).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("b", F.last(F.when(F.col("s").isNotNull(), F.struct(s("idx").alias("e"), F.col("ret").alias("r"))), True).over(before))
-    n, moved = s("idx"), s("idx") - F.coalesce("b.e", F.lit(0))
-    var = (s("sr2") - s("sr") * s("sr") / n) / (n - 1)
-    rel = lambda c: _r(s(c) / s("price") - 1)
+    g = states(spark, d, W.CHECKPOINTS, known=True).withColumn("ret", F.col("c") / F.col("price") - 1)
+    before = Window.partitionBy("sym", "day", "entry").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("b", F.last(F.when(F.col("idx").isNotNull(), F.struct(F.col("idx").alias("e"), F.col("ret").alias("r"))), True).over(before))
+    n, moved = F.col("idx"), F.col("idx") - F.coalesce("b.e", F.lit(0))
+    var = (F.col("sr2") - F.col("sr") * F.col("sr") / n) / (n - 1)
+    rel = lambda c: _r(F.col(c) / F.col("price") - 1)
     return g.select(
-        *_key(), "checkpoint", n.alias("bars_elapsed"), _r("ret").alias("ret"), rel("hi.h").alias("high_ret"), rel("lo.l").alias("low_ret"), rel("cmax.c").alias("close_max_ret"), rel("cmin.c").alias("close_min_ret"),
-        s("volume").alias("volume"), F.round(s("dollars"), 2).alias("dollars"), _r(F.when(s("volume") > 0, s("dollars") / s("volume"))).alias("vwap"), F.round(s("n_over") / (n + 1), 9).alias("profit_share"), F.round(s("n_under") / (n + 1), 9).alias("under_share"),
+        *_key(), F.col("name").alias("checkpoint"), n.alias("bars_elapsed"), _r("ret").alias("ret"), rel("hi").alias("high_ret"), rel("lo").alias("low_ret"), rel("cmax").alias("close_max_ret"), rel("cmin").alias("close_min_ret"),
+        "volume", F.round("dollars", 2).alias("dollars"), _r(F.when(F.col("volume") > 0, F.col("dollars") / F.col("volume"))).alias("vwap"), F.round(F.col("n_over") / (n + 1), 9).alias("profit_share"), F.round(F.col("n_under") / (n + 1), 9).alias("under_share"),
         _r(F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))).alias("vol_within"), (F.round(F.when(moved > 0, (F.col("ret") - F.coalesce("b.r", F.lit(0.0))) / moved), 8) + 0.0).alias("rate_of_change"),
-        _r(F.when(s("atr") > 0, (s("c") - s("price")) / s("atr"))).alias("ret_over_atr"), F.when(F.col("s").isNotNull(), F.coalesce(s("pause") >= 5, F.lit(False))).alias("halt_gap"),
+        _r(F.when(F.col("atr") > 0, (F.col("c") - F.col("price")) / F.col("atr"))).alias("ret_over_atr"), (F.col("pause") >= 5).alias("halt_gap"),
     )
 
 
 def intraday_returns(spark, d, checkpoints: tuple[int, ...]) -> DataFrame:
-    """KEY, eod and r0, r1, ...: returns from each fill to its day's close and to so many minutes after it, in one grouped pass."""
-    t = follow(spark, d).where(F.col("k") == 0)
-    ret = lambda when: F.round(F.max_by("c", when) / F.first("price") - 1, 9)
-    return t.groupBy(*W.KEY).agg(ret(F.col("idx")).alias("eod"), *[ret(F.when(F.col("mod") <= F.col("f.mod") + k, F.col("idx"))).alias(f"r{j}") for j, k in enumerate(checkpoints)])
+    """sym, day, entry, eod and r0, r1, ...: returns from each fill to its day's close and to so many minutes after it, in one grouped pass."""
+    names = ["EOD", *[f"{k}m" for k in checkpoints]]
+    x = states(spark, d, names)
+    of = lambda n: F.max(F.when(F.col("name") == n, F.round(F.col("c") / F.col("price") - 1, 9)))
+    return x.groupBy("sym", "day", "entry").agg(of("EOD").alias("eod"), *[of(f"{k}m").alias(f"r{j}") for j, k in enumerate(checkpoints)])
 
 
 _M = (10, 30, 60)
@@ -346,6 +322,7 @@ _M = (10, 30, 60)
 @query(_T + "select sym, day, entry, " + ", ".join(f"round(arg_max(c, idx) filter (mod <= f.mod + {k}) / any_value(price) - 1, 6) as m{k}" for k in _M) + " from t where k = 0 group by sym, day, entry")
 def pivot_paths(spark, d):
     """Long checkpoints pivoted to columns, with the values given."""
-    t = follow(spark, d).withColumn("horizon", F.explode(W.ends_of([f"{k}min" for k in _M])))
-    p = t.groupBy(*_key()).pivot("horizon", [f"{k}min" for k in _M]).agg(F.first(_r(F.col("c") / F.col("price") - 1)))
-    return p.select("sym", "day", "entry", *[F.col(f"{k}min").alias(f"m{k}") for k in _M])
+    names = [f"{k}m" for k in _M]
+    x = states(spark, d, names).select(*_key(), "name", _r(F.col("c") / F.col("price") - 1).alias("ret"))
+    p = x.groupBy("sym", "day", "entry").pivot("name", names).agg(F.first("ret"))
+    return p.select("sym", "day", "entry", *[F.col(f"{k}m").alias(f"m{k}") for k in _M])
