@@ -38,9 +38,10 @@ def rank_ordinal(group: list[str], value: str, order: list[str]) -> Column:
 
 
 def quantile_bucket(df: DataFrame, group: list[str], value: str, n: int, name: str) -> DataFrame:
-    """Bucket 1..n between linear quantiles, closed below; the last one closed above as well."""
-    cuts = df.groupBy(*group).agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_q")) if group else df.agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_q"))
-    j = df.join(cuts, group) if group else df.crossJoin(F.broadcast(cuts))  # one row of cuts
+    """Bucket 1..n between linear quantiles of a group, closed below; the last one closed above as well.  Over all rows see ``global_ntile``."""
+    if not group:
+        raise ValueError("quantiles of all rows in one task: use global_ntile or multiselect")
+    j = df.join(df.groupBy(*group).agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_q")), group)
     return j.withColumn(name, F.when(F.col(value).isNotNull(), F.size(F.filter("_q", lambda q: F.col(value) >= q)) + 1).cast("bigint")).drop("_q")
 
 

@@ -19,7 +19,7 @@ from tapeglass.operators import adjust, asof
 from tapeglass.operators import forward as W
 from tapeglass.operators import history as H
 from tapeglass.plans import forward
-from tapeglass.plans.panel import _P, _W, panel
+from tapeglass.plans.panel import _P, panel
 from tapeglass.plans.problems import _SYMBOL
 from tapeglass.sources.tables import table
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeglass.operators import history as H
 from tapeglass.operators import ranking as R
 from tapeglass.operators import resampling, subgroup
-from tapeglass.plans.panel import _P, _W, panel
+from tapeglass.plans.panel import _P, panel
 from tapeglass.plans.forward import _T, intraday_returns
 from tapeglass.session import cut
 from tapeglass.sources.tables import table
