@@ -178,11 +178,9 @@ def paged_json_events(spark: SparkSession, d: str) -> DataFrame:
     name = lambda k: F.concat_ws("-", "cik", k.cast("string"))
     p = p.groupBy("cik", "page", "last").agg(col("filing_id").alias("filing_id"), col("filed").alias("filed"), col("form").alias("form"))
     body = F.to_json(F.struct("cik", "filing_id", "filed", "form", F.when(F.col("page") < F.col("last"), name(F.col("page") + 1)).alias("next_url")))
-    p.select(name(F.col("page")).alias("key"), body.alias("body")).write.mode("overwrite").parquet(root)
-    store = {r.key: r.body for r in spark.read.parquet(root).toLocalIterator()}  # stands for a server: a few pages a company of the test tables
-    held = spark.sparkContext.broadcast(store)
+    archives.write_files(p, name(F.col("page")), body, root)  # stands for a server
     starts = f.select(F.concat_ws("-", "cik", F.lit("0")).alias("start")).distinct()
-    got = archives.pages(spark, starts, lambda url: held.value[url])
+    got = archives.pages(spark, starts, lambda url: archives.read_file(root, url))
     rows = got.select(F.get_json_object("body", "$.cik").alias("cik"), "page", F.inline(archives.parallel_arrays("body", ["filing_id", "filed", "form"])))
     out = cut(rows.where(F.contains("form", F.lit("quarter"))).select("cik", F.col("filing_id").cast("bigint").alias("filing_id"), F.col("filed").alias("filing_date")))
     remove(spark, root)

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,36 @@ def write_zips(df: DataFrame, name: str, text: str, folder: str) -> int:
     return k
 
 
+def _at(folder: str, name: str):
+    from pyarrow.fs import FileSystem
+
+    uri = f"file://{folder[5:]}" if folder.startswith("file:/") and not folder.startswith("file://") else folder
+    return FileSystem.from_uri(f"{uri}/{name}")
+
+
+def write_files(df: DataFrame, name: Column, text: Column, folder: str) -> None:
+    """A file per row, written in the tasks; a task that runs again writes the same files again."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            for key, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                fs, at = _at(folder, key)
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(at) as f:
+                    f.write(body.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    df.select(name.alias("n"), text.alias("t")).mapInArrow(put, "files bigint").agg(F.sum("files")).collect()  # one number
+
+
+def read_file(folder: str, name: str) -> str:
+    fs, at = _at(folder, name)
+    with fs.open_input_stream(at) as f:
+        return f.read().decode()
+
+
 def tsv(members: DataFrame, member: str, columns: list[str]) -> DataFrame:
     """The rows of the members called ``member``, a file of tab-separated values with a header, as text columns."""
     lines = members.where(F.col("member").endswith(member)).select("archive", F.posexplode(F.split("text", "\r?\n")).alias("_n", "_line"))
