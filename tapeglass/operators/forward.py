@@ -211,7 +211,7 @@ def path_states(bars: DataFrame, context: DataFrame | None, calendar: DataFrame,
     bars' returns and their squares; pause: minutes of the longest pause within a day; recovery: bars
     from the first close below to the first one not below.  All entries of a day read the same bars, so
     the sums and extremes are worked out in Arrow batches, an array operation each, where a window over
-    every entry's copy of them would take many times as long.
+    every entry's copy of them would take more than twice as long.
     """
     fields = [*_KEYS, ("name", "string"), ("no", "int"), *_STATE]
 
